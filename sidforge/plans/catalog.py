@@ -327,9 +327,9 @@ def lookup_mem(spark, sf_dir):
 
 @query
 def output_projection(spark, sf_dir):
-    joined = joins.with_geo_sid(
-        joins.join_index(views.items(spark, sf_dir), index_table(spark, sf_dir))
-    )
+    fields = ["idx", *item_source.ITEM_FIELDS]
+    table = item_source.select_fields(views.items(spark, sf_dir), fields)
+    joined = joins.with_geo_sid(joins.join_index(table, index_table(spark, sf_dir)))
     filled = joins.finalize(joined, ["geo_sid"], True, ["idx"])
     raw = joins.finalize(joined.drop("shop_id"), ["geo_sid"], False, ["idx"])
     return filled.withColumn("mode", F.lit("filled")).unionByName(
