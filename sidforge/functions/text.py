@@ -12,26 +12,43 @@ WHITE_SPACE = "".join(
         0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
     ])
 )
+_SPACE_LITERAL = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE) + "'"
 
 
-def strip(col: Column) -> Column:
+def strip_sql(text: str) -> str:
+    return f"btrim({text}, {_SPACE_LITERAL})"
+
+
+def stringified_sql(value: str) -> str:
+    return f"coalesce(cast({value} as string), '')"
+
+
+def item_text_sql(brand: str, title: str, description: str) -> str:
+    parts = [strip_sql(stringified_sql(c)) for c in (brand, title, description)]
+    return strip_sql("concat_ws(' ', " + ", ".join(parts) + ")")
+
+
+def is_blank_sql(value: str) -> str:
+    return f"({strip_sql(stringified_sql(value))} = '')"
+
+
+def strip(text: str) -> Column:
     """Trim every kind of white space; SQL ``trim`` alone drops only blanks."""
-    return F.btrim(col, F.lit(WHITE_SPACE))
+    return F.expr(strip_sql(text))
 
 
-def stringified(col: Column) -> Column:
+def stringified(value: str) -> Column:
     """Text of a value, empty when null."""
-    return F.coalesce(col.cast("string"), F.lit(""))
+    return F.expr(stringified_sql(value))
 
 
-def item_text(brand: Column, title: Column, description: Column) -> Column:
+def item_text(brand: str = "brand", title: str = "title", description: str = "description") -> Column:
     """Brand, title and description joined by single blanks.
 
     An empty middle field keeps both of its blanks; only the ends are trimmed.
     """
-    parts = [strip(stringified(c)) for c in (brand, title, description)]
-    return strip(F.concat(parts[0], F.lit(" "), parts[1], F.lit(" "), parts[2]))
+    return F.expr(item_text_sql(brand, title, description))
 
 
-def is_blank(col: Column) -> Column:
-    return strip(stringified(col)) == ""
+def is_blank(value: str) -> Column:
+    return F.expr(is_blank_sql(value))

@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 # One letter per level, the token form, and the digits inside it.
 LEVEL_LETTERS = "abcde"
 TOKEN = "<{letter}_{code}>"
-TOKEN_DIGITS = r"([0-9]+)>$"
+TOKEN_DIGITS = "([0-9]+)>$"
 
 
-def code_token(level: int, code: Column) -> Column:
-    """Code 17 of level 0 renders as ``<a_17>``."""
+def code_token_sql(level: int, code: str) -> str:
     if not 0 <= level < len(LEVEL_LETTERS):
         raise ValueError(f"level {level} has no letter; at most {len(LEVEL_LETTERS)} levels exist")
     head, tail = TOKEN.format(letter=LEVEL_LETTERS[level], code="|").split("|")
-    return F.concat(F.lit(head), code.cast("string"), F.lit(tail))
+    return f"concat('{head}', cast({code} as string), '{tail}')"
+
+
+def code_token(level: int, code: str) -> Column:
+    """Code 17 of level 0 renders as ``<a_17>``."""
+    return F.expr(code_token_sql(level, code))
 
 
-def parse_code(token: Column) -> Column:
+def parse_code(token: str) -> Column:
     """The number inside a token."""
-    return F.regexp_extract(token, TOKEN_DIGITS, 1).cast("int")
+    return F.expr(f"cast(regexp_extract({token}, '{TOKEN_DIGITS}', 1) as int)")
 
 
 def code_columns(df: DataFrame) -> list[str]:
@@ -32,14 +36,15 @@ def code_columns(df: DataFrame) -> list[str]:
 def render_tokens(df: DataFrame, code_cols: list[str] | None = None) -> DataFrame:
     """Replace integer code columns by their tokens, level by position."""
     names = code_cols or code_columns(df)
-    return df.withColumns({c: code_token(i, F.col(c)) for i, c in enumerate(names)})
+    return df.withColumns({c: code_token(i, c) for i, c in enumerate(names)})
 
 
-def sid(df: DataFrame, code_cols: list[str] | None = None) -> Column:
-    """All tokens of a row joined in schema order."""
-    return F.concat(*[F.col(c) for c in code_cols or code_columns(df)])
+def sid(code_cols: list[str]) -> Column:
+    """All tokens of a row joined in the given order."""
+    return F.expr(f"concat({', '.join(code_cols)})")
 
 
-def geo_sid(geohash: Column, sid_col: Column) -> Column:
+def geo_sid(geohash: str | None, code_cols: list[str]) -> Column:
     """Geohash in angle brackets before the SID; a missing geohash leaves ``<>``."""
-    return F.concat(F.lit("<"), F.coalesce(geohash, F.lit("")), F.lit(">"), sid_col)
+    place = f"coalesce({geohash}, '')" if geohash else "''"
+    return F.expr(f"concat('<', {place}, '>', {', '.join(code_cols)})")

@@ -5,50 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A null element reads as NaN.
+_BROKEN = "(x is null or isnan(x))"
+_INFINITE = "(abs(x) = float('inf'))"
 
-def _broken(x: Column) -> Column:
-    return x.isNull() | F.isnan(x)
 
-
-def _infinite(x: Column) -> Column:
-    return F.abs(x) == F.lit(float("inf"))
-
-
-def sanitize(vec: Column) -> Column:
+def sanitize(vec: str) -> Column:
     """NaN, infinite and null elements become 0."""
-    return F.transform(
-        vec, lambda x: F.when(_broken(x) | _infinite(x), F.lit(0.0).cast("float")).otherwise(x)
-    )
+    return F.expr(f"transform({vec}, x -> if({_BROKEN} or {_INFINITE}, float(0), x))")
 
 
-def nan_count(vec: Column) -> Column:
-    """NaN elements; a null element reads as NaN."""
-    return F.size(F.filter(vec, _broken))
+def nan_count(vec: str) -> Column:
+    return F.expr(f"size(filter({vec}, x -> {_BROKEN}))")
 
 
-def inf_count(vec: Column) -> Column:
-    return F.size(F.filter(vec, lambda x: x.isNotNull() & _infinite(x)))
+def inf_count(vec: str) -> Column:
+    return F.expr(f"size(filter({vec}, x -> x is not null and {_INFINITE}))")
 
 
-def total(vec: Column) -> Column:
-    return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+def total(vec: str) -> Column:
+    return F.expr(f"aggregate({vec}, 0D, (acc, x) -> acc + x)")
 
 
-def norm(vec: Column) -> Column:
-    return F.sqrt(
-        F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    )
+def norm(vec: str) -> Column:
+    return F.expr(f"sqrt(aggregate({vec}, 0D, (acc, x) -> acc + double(x) * double(x)))")
 
 
-def add(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: a + b)
+def add(vectors: list[str]) -> Column:
+    """Elementwise sum, left to right."""
+    text = vectors[0]
+    for other in vectors[1:]:
+        text = f"zip_with({text}, {other}, (a, b) -> a + b)"
+    return F.expr(text)
 
 
-def squared_gap(left: Column, right: Column) -> Column:
-    gap = F.zip_with(left, right, lambda a, b: a.cast("double") - b.cast("double"))
-    return F.aggregate(gap, F.lit(0.0), lambda acc, g: acc + g * g)
+def squared_gap(left: str, right: str) -> Column:
+    gap = f"zip_with({left}, {right}, (a, b) -> double(a) - double(b))"
+    return F.expr(f"aggregate({gap}, 0D, (acc, g) -> acc + g * g)")
 
 
-def absolute_gap(left: Column, right: Column) -> Column:
-    gap = F.zip_with(left, right, lambda a, b: a.cast("double") - b.cast("double"))
-    return F.aggregate(gap, F.lit(0.0), lambda acc, g: acc + F.abs(g))
+def absolute_gap(left: str, right: str) -> Column:
+    gap = f"zip_with({left}, {right}, (a, b) -> double(a) - double(b))"
+    return F.expr(f"aggregate({gap}, 0D, (acc, g) -> acc + abs(g))")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sidforge.operators import kernels as k
+from sidforge.operators.skew import join_counted
 from sidforge.session import discard, materialize
 
 # A batch up to this many rows is solved in one task (128 MB at 256 codes).
@@ -29,23 +30,24 @@ TASK_ROWS = 1 << 16
 # Larger batches handled side by side: their weights stay small on the driver.
 BATCHES_AT_ONCE = 4096
 # Names of larger batches that are broadcast to sort rows into the two ways.
-BROADCAST_NAMES = 100_000
+BROADCAST_NAMES = 2_000_000
 
 
 def center_distances(df: DataFrame, batch: str, dist: str = "distances") -> DataFrame:
     """Shift and scale distances to [-1, 1] by the extremes of their batch."""
     ends = df.groupBy(batch).agg(
-        F.min(F.array_min(dist)).alias("_low"), F.max(F.array_max(dist)).alias("_high")
+        F.min(F.array_min(dist)).alias("_low"), F.max(F.array_max(dist)).alias("_high"),
+        F.count("*").alias("_n"),
     )
     middle = (F.col("_high") + F.col("_low")) / 2
     centred = F.transform(
         dist, lambda d: (d - F.col("_middle")) / (F.col("_high") - F.col("_middle") + F.lit(1e-5))
     )
     return (
-        df.join(ends, batch)
+        join_counted(df, ends, [batch], "_n")
         .withColumn("_middle", middle)
         .withColumn(dist, centred)
-        .drop("_low", "_high", "_middle")
+        .drop("_low", "_high", "_middle", "_n")
     )
 
 
@@ -100,11 +102,7 @@ def _small_batches(df: DataFrame, batch, key, eps, iters, dist) -> DataFrame:
 
     def solve(table: pa.Table) -> pa.Table:
         d = k.to_matrix(table.column(dist))
-        kernel = k.balanced_kernel(d, d.min(), d.max(), eps)
-        v = np.ones(d.shape[1])
-        for _ in range(iters):
-            v = k.next_weights(k.column_pull(kernel, v))
-        code = pa.array((kernel * v).argmax(axis=1), pa.int32())
+        code = pa.array(k.balanced_codes(d, eps, iters), pa.int32())
         return pa.table({key: table.column(key), batch: table.column(batch), "code": code})
 
     return df.groupBy(batch).applyInArrow(solve, schema)

@@ -7,13 +7,17 @@ shuffle. Members are only ever listed as rows, never gathered in one value.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sidforge.functions.tokens import code_columns
+from sidforge.operators import kernels as k
 from sidforge.operators.balance import TASK_ROWS, sinkhorn_assign
 from sidforge.operators.identity import CHUNK_ROWS, rank_within
 from sidforge.operators.quantize import assign_codes, codebook_distances
+from sidforge.operators.skew import join_counted
 from sidforge.session import materialize
 
 
@@ -68,7 +72,7 @@ def collision_groups(
     """
     cols = code_cols or code_columns(df)
     shared = bucket_sizes(df, cols).where(F.col("n") > 1).withColumnRenamed("n", "group_size")
-    return df.select(idx, *cols).join(shared, cols)
+    return join_counted(df.select(idx, *cols), shared, cols, "group_size")
 
 
 def dedup_rank(
@@ -106,22 +110,68 @@ def resolve_collisions(
     level; earlier levels keep their nearest codes. Stops when all tuples differ,
     when a round changes nothing, or after ``rounds``. Identical vectors need
     not separate.
+
+    An item never leaves its prefix (all codes but the last), so prefixes are
+    independent. One with at most ``task_rows`` items runs all its rounds in one
+    task; a larger one stays spread out, one job per round.
     """
     levels = codebook.agg(F.max("level")).first()[0] + 1
+    prefix = [f"code_{i}" for i in range(levels - 1)]
     last = f"code_{levels - 1}"
-    names = [f"code_{i}" for i in range(levels)]
-    head = codebook.where(F.col("level") < levels - 1)
     if levels > 1:
-        left = assign_codes(df, head, vec, [idx], residual=True)
+        left = assign_codes(df, codebook.where(F.col("level") < levels - 1), vec, [idx], residual=True)
     else:
         left = df.select(idx, F.col(vec).cast("array<double>").alias("residual"))
-    # The last level's distances depend only on the item, so they are computed once.
+    # The distances of the last level depend on the item alone.
     reached = codebook_distances(left, codebook, levels - 1, "residual").drop("residual")
     nearest = F.array_position(F.col("distances"), F.array_min("distances")) - 1
     state = materialize(reached.withColumn(last, nearest.cast("int")), "codes")
-    distances = state.select(idx, "distances")
-    codes = state.select(idx, *names)
-    written = None
+
+    shared = bucket_sizes(state, [*prefix, last]).groupBy(*prefix).agg(
+        F.max("n").alias("_most"), F.sum("n").alias("_size")
+    )
+    # Prefixes without a shared tuple are done; the rest split by size.
+    sized = materialize(shared.where("_most > 1"), "prefixes")
+    small = sized.where(F.col("_size") <= task_rows).select(*prefix)
+    large = sized.where(F.col("_size") > task_rows).select(*prefix)
+    names = [*prefix, last]
+    if not prefix:
+        # A single level has one prefix, the whole table.
+        return _repair_spread(state, names, rounds, eps, iters, idx, task_rows)
+    # At most rows / task_rows prefixes are large.
+    big = F.broadcast(large)
+    calm = state.join(big, prefix, "left_anti")
+    quiet = calm.join(small, prefix, "left_anti").select(idx, *names)
+    inside = _repair_in_tasks(calm.join(small, prefix, "left_semi"), names, rounds, eps, iters, idx)
+    result = quiet.unionByName(inside)
+    if not large.isEmpty():
+        crowded = state.join(big, prefix, "left_semi")
+        result = result.unionByName(
+            _repair_spread(crowded, names, rounds, eps, iters, idx, task_rows)
+        )
+    return result
+
+
+def _repair_in_tasks(df, names, rounds, eps, iters, idx) -> DataFrame:
+    """All rounds of a prefix inside one task."""
+    *prefix, last = names
+    schema = T.StructType([df.schema[c] for c in (idx, *names)])
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by(idx)
+        distances = k.to_matrix(table.column("distances"))
+        codes = k.separate(distances, table.column(last).to_numpy(), rounds, eps, iters)
+        columns = {c: table.column(c) for c in (idx, *prefix)}
+        return pa.table(columns | {last: pa.array(codes, pa.int32())})
+
+    return df.groupBy(*prefix).applyInArrow(solve, schema)
+
+
+def _repair_spread(df, names, rounds, eps, iters, idx, task_rows) -> DataFrame:
+    """Rounds over prefixes too large for a task."""
+    last = names[-1]
+    distances = df.select(idx, "distances")
+    codes, written = df.select(idx, *names), None
     for _ in range(rounds):
         members = collision_groups(codes, names, idx)
         batch = members.select(idx, F.concat_ws("-", *names).alias("batch"))
@@ -137,8 +187,7 @@ def resolve_collisions(
             "codes",
             replaces=written,
         )
-        written = step
-        codes = step.select(idx, *names)
+        written, codes = step, step.select(idx, *names)
         if step.where("_changed").isEmpty():
             break
     return codes

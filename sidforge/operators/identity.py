@@ -99,8 +99,7 @@ def rank_within(
     at most ``chunk_rows`` rows of a group however large the group is. A group
     within one chunk needs no offset; the offsets table holds only later chunks.
     """
-    chunk = F.floor(F.col(order_col) / F.lit(chunk_rows))
-    tagged = df.withColumn("_chunk", chunk)
+    tagged = df.withColumn("_chunk", F.expr(f"`{order_col}` div {chunk_rows}"))
     local = W.partitionBy(*group_cols, "_chunk").orderBy(order_col)
     ranked = tagged.withColumn("_local", F.row_number().over(local))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidforge.functions.text import stringified
-from sidforge.functions.tokens import code_columns, geo_sid, sid
+from sidforge.functions.text import stringified_sql
+from sidforge.functions.tokens import code_columns, geo_sid
+from sidforge.operators.skew import join_counted
 
 # Columns of the final table, in order.
 FINAL_FIELDS = [
@@ -39,22 +40,21 @@ def join_index(
 
 def with_geo_sid(df: DataFrame, code_cols: list[str] | None = None) -> DataFrame:
     """Add ``geo_sid``; a table without geohash gives ``<>`` before the SID."""
-    place = F.col("geohash") if "geohash" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("geo_sid", geo_sid(place, sid(df, code_cols or code_columns(df))))
+    place = "geohash" if "geohash" in df.columns else None
+    return df.withColumn("geo_sid", geo_sid(place, code_cols or code_columns(df)))
 
 
 def lookup_mem(df: DataFrame, seq_table: DataFrame, gen_cols: list[str]) -> DataFrame:
     """Add ``mem_sid`` of each row's gen sequence, empty when it has none.
 
-    ``seq_table`` holds one row per distinct sequence, as many as the data has,
-    so the join strategy is left to the run-time sizes.
+    ``seq_table`` holds one row per distinct sequence with its number of items
+    ``n``; a sequence that very many items share is not shuffled.
     """
     if len(gen_cols) < 2:
         return df.withColumn("mem_sid", F.lit(""))
-    found = seq_table.select(*gen_cols, F.col("mem_sid").alias("_mem"))
-    return (
-        df.join(found, gen_cols, "left")
-        .select(*df.columns, F.coalesce("_mem", F.lit("")).alias("mem_sid"))
+    found = seq_table.select(*gen_cols, F.col("mem_sid").alias("_mem"), F.col("n").alias("_n"))
+    return join_counted(df, found, gen_cols, "_n", "left").select(
+        *df.columns, F.coalesce("_mem", F.lit("")).alias("mem_sid")
     )
 
 
@@ -67,10 +67,10 @@ def finalize(
     pass through unchanged.
     """
 
-    def field(name: str):
+    def field(name: str) -> str:
         if name not in df.columns:
-            return F.lit("").alias(name)
-        return (stringified(F.col(name)) if fill_nulls else F.col(name)).alias(name)
+            return f"'' as {name}"
+        return f"{stringified_sql(name)} as {name}" if fill_nulls else name
 
     wanted = FINAL_FIELDS + (["geo_sid"] if extra is None else extra)
-    return df.select(*(keep or []), *[field(n) for n in wanted])
+    return df.selectExpr(*(keep or []), *[field(n) for n in wanted])

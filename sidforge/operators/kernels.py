@@ -107,3 +107,34 @@ def next_weights(pull: np.ndarray) -> np.ndarray:
     """Column weights that give every column the same mass, largest weight 1."""
     v = 1.0 / pull
     return v / v.max()
+
+
+def balanced_codes(d: np.ndarray, eps: float, iters: int) -> np.ndarray:
+    """Balanced code of each row of one whole batch."""
+    kernel = balanced_kernel(d, d.min(), d.max(), eps)
+    v = np.ones(d.shape[1])
+    for _ in range(iters):
+        v = next_weights(column_pull(kernel, v))
+    return (kernel * v).argmax(axis=1)
+
+
+def separate(
+    d: np.ndarray, codes: np.ndarray, rounds: int, eps: float, iters: int
+) -> np.ndarray:
+    """Rebalance every set of rows sharing a code until none do or nothing moves."""
+    codes = codes.copy()
+    # The same members always get the same codes; rows that cannot separate
+    # come back round after round.
+    known: dict[bytes, np.ndarray] = {}
+    for _ in range(rounds):
+        used, size = np.unique(codes, return_counts=True)
+        before = codes.copy()
+        for code in used[size > 1]:
+            members = np.flatnonzero(before == code)
+            key = members.tobytes()
+            if key not in known:
+                known[key] = balanced_codes(d[members], eps, iters)
+            codes[members] = known[key]
+        if (codes == before).all():
+            break
+    return codes

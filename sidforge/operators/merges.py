@@ -7,9 +7,11 @@ head of the pair counts and the merge rules reach the driver.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,8 @@ SYMBOL = "<m_{}>"
 V_MEM = 200
 MIN_COUNT = 10
 RULE_SCHEMA = "rank int, a string, b string, sym string, expansion string"
+# Never part of a token.
+PAIR_BREAK = "\x1f"
 # Pairs read per counting pass. Several of them can be merged at once.
 HEAD = 256
 # Counting passes between two written corpora.
@@ -34,15 +38,12 @@ def seq_freq(df: DataFrame, gen_cols: list[str]) -> DataFrame:
 
 def pair_counts(seqs: DataFrame, seq: str = "seq") -> DataFrame:
     """Neighbouring pairs and the items they occur in, every occurrence counted."""
-    size = F.size(seq)
-    pairs = F.arrays_zip(
-        F.slice(seq, F.lit(1), size - 1).alias("a"), F.slice(seq, F.lit(2), size - 1).alias("b")
+    pairs = (
+        f"inline(arrays_zip(slice({seq}, 1, size({seq}) - 1), slice({seq}, 2, size({seq}) - 1))) "
+        "as (a, b)"
     )
-    return (
-        seqs.where(size > 1)
-        .select(F.explode(pairs).alias("pair"), "n")
-        .groupBy(F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
-        .agg(F.sum("n").alias("n"))
+    return seqs.where(f"size({seq}) > 1").selectExpr(pairs, "n").groupBy("a", "b").agg(
+        F.sum("n").alias("n")
     )
 
 
@@ -53,76 +54,99 @@ def best_pair(pairs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return top.where(F.col("n") >= min_count)
 
 
-def merge_pair(seq: Column, a: Column, b: Column, sym: Column) -> Column:
-    """Replace (a, b) by ``sym`` from left to right without overlap.
+def merge_pair_sql(seq: str, a: str, b: str, sym: str) -> str:
+    """One fold over ``seq``: a token that completes the pair replaces the token
+    before it. ``sym`` never equals ``a``, so a replaced token starts no pair."""
+    completes = f"token = {b} and try_element_at(done, -1) = {a}"
+    replaced = f"concat(slice(done, 1, size(done) - 1), array({sym}))"
+    fold = f"if({completes}, {replaced}, concat(done, array(token)))"
+    return f"aggregate({seq}, cast(array() as array<string>), (done, token) -> {fold})"
+
+
+def merge_pair(seq: str, a: str, b: str, sym: str) -> Column:
+    """Replace the pair by ``sym`` from left to right without overlap.
 
-    One fold: a token that completes the pair replaces the token before it.
-    ``sym`` never equals ``a``, so a replaced token starts no further pair.
+    ``seq`` and the pair and symbol are column names or SQL literals.
     """
+    return F.expr(merge_pair_sql(seq, a, b, sym))
 
-    def step(done: Column, token: Column) -> Column:
-        completes = (token == b) & (F.try_element_at(done, F.lit(-1)) == a)
-        return F.when(
-            completes,
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(sym)),
-        ).otherwise(F.concat(done, F.array(token)))
 
-    return F.aggregate(seq, F.array().cast("array<string>"), step)
+def with_rules(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Add the rules as one constant array column ``_rules``."""
+    text = json.dumps([{"a": a, "b": b, "s": s} for a, b, s in rules])
+    kind = "array<struct<a:string,b:string,s:string>>"
+    return df.withColumn("_rules", F.from_json(F.lit(text), kind))
 
 
-def replay(seq: Column, produced: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """Struct of the sequence after all rules and the symbols made on the way.
+def replay(df: DataFrame, seq: str, produced: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Add ``_state``: the sequence after all rules and the symbols made on the way.
 
     Applying rules in rank order equals always taking the lowest rank present,
     because a merge can enable only later rules.
     """
-    if not rules:
-        return F.struct(seq.alias("cur"), produced.alias("produced"))
-    table = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("s")) for a, b, s in rules]
+    merged = merge_pair_sql("st.cur", "r.a", "r.b", "r.s")
+    made = "if(array_contains(cur, r.s), concat(st.produced, array(r.s)), st.produced)"
+    after = (
+        f"transform(array({merged}), cur -> named_struct('cur', cur, 'produced', {made}))[0]"
     )
+    present = "array_contains(st.cur, r.a) and array_contains(st.cur, r.b)"
+    start = f"named_struct('cur', {seq}, 'produced', {produced})"
+    fold = f"aggregate(_rules, {start}, (st, r) -> if({present}, {after}, st))"
+    return with_rules(df, rules).withColumn("_state", F.expr(fold)).drop("_rules")
 
-    def step(state: Column, rule: Column) -> Column:
-        present = F.array_contains(state["cur"], rule["a"]) & F.array_contains(
-            state["cur"], rule["b"]
-        )
-        merged = merge_pair(state["cur"], rule["a"], rule["b"], rule["s"])
-        made = F.when(
-            F.array_contains(merged, rule["s"]), F.concat(state["produced"], F.array(rule["s"]))
-        ).otherwise(state["produced"])
-        return F.when(
-            present, F.struct(merged.alias("cur"), made.alias("produced"))
-        ).otherwise(state)
 
-    return F.aggregate(table, F.struct(seq.alias("cur"), produced.alias("produced")), step)
+def neighbour_bounds(
+    seqs: DataFrame, head: list[tuple[str, str]], seq: str = "seq"
+) -> DataFrame:
+    """For each pair (a, b) of ``head``: the most items in which one same token
+    stands before, or one same token stands after, the pair.
 
+    After merging the pair no new pair can be more frequent than that.
+    """
+    place = (
+        f"struct(element_at({seq}, i) as a, element_at({seq}, i + 1) as b, "
+        f"array(struct('before' as side, get({seq}, i - 2) as token), "
+        f"struct('after' as side, get({seq}, i + 1) as token)) as sides)"
+    )
+    found = (
+        seqs.where(f"size({seq}) > 2")
+        .selectExpr(f"inline(transform(sequence(1, size({seq}) - 1), i -> {place}))", "n")
+        .where(F.concat_ws(PAIR_BREAK, "a", "b").isin([PAIR_BREAK.join(pair) for pair in head]))
+    )
+    return (
+        found.selectExpr("a", "b", "inline(sides)", "n")
+        .where("token is not null")
+        .groupBy("a", "b", "side", "token")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("a", "b")
+        .agg(F.max("n").alias("bound"))
+    )
 
-def independent_head(head: list[tuple[int, str, str]], complete: bool, room: int) -> list:
+
+def independent_head(
+    head: list[tuple[int, str, str]], bounds: dict[tuple[str, str], int], last: int, room: int
+) -> list[tuple[int, str, str]]:
     """The leading pairs that successive single merges would pick in this order.
 
-    ``head`` is sorted best first. Merging (a, b) leaves the count of (c, d)
-    unchanged when c is not b and d is not a, and every new pair is at most as
-    frequent as some old pair (·, a) or (b, ·). A candidate therefore comes next
-    if it is untouched by the pairs chosen so far and more frequent than all
-    such old pairs. Pairs outside ``head`` count at most as much as its last one,
-    unless it is ``complete``.
+    ``head`` is sorted best first; pairs outside it count at most ``last``.
+    Merging (a, b) leaves the count of (c, d) unchanged when c is not b and d is
+    not a, lowers other old pairs, and makes new pairs of at most ``bounds[a, b]``
+    items. A candidate therefore comes next if it is untouched by the pairs
+    chosen before it and more frequent than any pair they can create.
     """
     chosen: list[tuple[int, str, str]] = []
     firsts: set[str] = set()
     seconds: set[str] = set()
-    floor = 0 if complete else head[-1][0]
-    for n, c, d in head:
+    rival = last
+    for n, a, b in head:
         if len(chosen) == room:
             break
-        if chosen:
-            rival = max(
-                (m for m, x, y in head if y in firsts or x in seconds), default=0
-            )
-            if c in seconds or d in firsts or n <= max(rival, floor):
-                break
-        chosen.append((n, c, d))
-        firsts.add(c)
-        seconds.add(d)
+        if chosen and (a in seconds or b in firsts or n <= rival):
+            break
+        chosen.append((n, a, b))
+        firsts.add(a)
+        seconds.add(b)
+        rival = max(rival, bounds.get((a, b), 0))
     return chosen
 
 
@@ -135,7 +159,7 @@ def learn_merges(
     and ``n``.
     """
     base = materialize(
-        seqs.select("seq", F.col("seq").alias("cur"), F.array().cast("array<string>").alias("produced"), "n"),
+        seqs.selectExpr("seq", "seq as cur", "cast(array() as array<string>) as produced", "n"),
         "corpus",
     )
     rules: list[tuple[str, str, str]] = []
@@ -144,8 +168,10 @@ def learn_merges(
     reason = "v_mem reached"
 
     def current() -> DataFrame:
-        state = replay(F.col("cur"), F.col("produced"), pending)
-        return base.withColumn("_s", state).select("seq", "_s.cur", "_s.produced", "n")
+        if not pending:
+            return base
+        state = replay(base, "cur", "produced", pending)
+        return state.selectExpr("seq", "_state.cur", "_state.produced", "n")
 
     while len(rules) < v_mem:
         pairs = pair_counts(current(), "cur").where(F.col("n") >= min_count)
@@ -153,9 +179,12 @@ def learn_merges(
         if not rows:
             reason = "no pair >= min_count"
             break
-        # Pairs below min_count cannot overtake one that reaches it.
         ranked = [(r.n, r.a, r.b) for r in rows]
-        for _, a, b in independent_head(ranked, len(rows) < head, v_mem - len(rules)):
+        around = neighbour_bounds(current(), [(a, b) for _, a, b in ranked], "cur")
+        bounds = {(r.a, r.b): r.bound for r in around.collect()}
+        # With room in the head, all other pairs are below min_count.
+        last = ranked[-1][0] if len(rows) == head else 0
+        for _, a, b in independent_head(ranked, bounds, last, v_mem - len(rules)):
             rule = (a, b, SYMBOL.format(len(rules) + 1))
             rules.append(rule)
             pending.append(rule)
@@ -182,31 +211,36 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 
 def apply_merges(df: DataFrame, rules: list[tuple[str, str, str]], seq: str = "seq") -> DataFrame:
     """Add ``produced``: every symbol made while replaying the rules on ``seq``."""
-    empty = F.array().cast("array<string>")
-    return df.withColumn("produced", replay(F.col(seq), empty, rules)["produced"])
+    state = replay(df, seq, "cast(array() as array<string>)", rules)
+    return state.withColumn("produced", F.col("_state.produced")).drop("_state")
 
 
-def mem_sid(produced: Column) -> Column:
+def mem_sid(produced: str = "produced") -> Column:
     """Produced symbols joined, empty when there are none."""
     return F.concat_ws("", produced)
 
 
 def seq_mem_table(corpus: DataFrame, gen_cols: list[str]) -> DataFrame:
-    """Distinct sequences that own a ``mem_sid``, one column per token."""
+    """Distinct sequences with their ``mem_sid`` and number of items, one column
+    per token."""
     tokens = [F.col("seq")[i].alias(c) for i, c in enumerate(gen_cols)]
-    return corpus.where(F.size("produced") > 0).select(*tokens, mem_sid(F.col("produced")).alias("mem_sid"))
+    return corpus.select(*tokens, mem_sid().alias("mem_sid"), "n")
 
 
 def mem_coverage(corpus: DataFrame) -> DataFrame:
-    """Items per symbol and their share."""
-    items = corpus.agg(F.sum("n").alias("items"))
-    per_symbol = (
-        corpus.select(F.explode("produced").alias("sym"), "n").groupBy("sym").agg(F.sum("n").alias("items_with"))
-    )
-    # One row joined to at most one row per rule.
-    return per_symbol.join(F.broadcast(items)).select(
-        "sym", "items_with", (F.col("items_with") / F.col("items")).alias("ratio")
+    """Items per symbol and their share of all items.
+
+    The empty symbol, counted for every sequence, carries the total.
+    """
+    symbols = F.concat(F.array(F.lit("")), F.col("produced"))
+    counts = (
+        corpus.select(F.explode(symbols).alias("sym"), "n")
+        .groupBy("sym")
+        .agg(F.sum("n").alias("items_with"))
     )
+    # At most one row per rule from here on.
+    items = F.max(F.when(F.col("sym") == "", F.col("items_with"))).over(W.partitionBy(F.lit(0)))
+    return counts.withColumn("ratio", F.col("items_with") / items).where("sym <> ''")
 
 
 def mem_totals(corpus: DataFrame) -> DataFrame:

@@ -97,16 +97,11 @@ def fit_projection(df: DataFrame, e_dim: int, vec: str = "embedding") -> DataFra
 def explained_variance(df: DataFrame, layers: DataFrame, vec: str = "embedding") -> DataFrame:
     """Variance of each projected coordinate and its share of the total."""
     projected = mlp_project(df.select(vec), layers, None, vec, "latent")
-    width = projected.select(
-        F.posexplode(F.transform(F.col(vec), lambda x: x.cast("double"))).alias("p", "x")
-    )
-    whole = width.groupBy("p").agg(F.var_pop("x").alias("v")).agg(F.sum("v").alias("whole"))
-    kept = (
-        projected.select(F.posexplode("latent").alias("component", "y"))
-        .groupBy("component")
-        .agg(F.var_pop("y").alias("variance"))
-    )
-    # One row joined to e_dim rows.
-    return kept.join(F.broadcast(whole)).select(
-        "component", "variance", (F.col("variance") / F.col("whole")).alias("share")
+    elements = projected.select(
+        F.posexplode(F.transform(F.col(vec), lambda x: x.cast("double"))).alias("place", "x")
     )
+    spread = elements.groupBy("place").agg(F.var_pop("x").alias("v"))
+    whole = spread.agg(F.sum("v")).first()[0]
+    coordinates = projected.select(F.posexplode("latent").alias("component", "y"))
+    kept = coordinates.groupBy("component").agg(F.var_pop("y").alias("variance"))
+    return kept.withColumn("share", F.col("variance") / F.lit(whole))

@@ -30,21 +30,25 @@ def codebook_bytes(codebook: DataFrame) -> int:
     return codebook.agg(F.sum(F.size("centroid") * F.lit(8))).first()[0] or 0
 
 
-def fetch_levels(codebook: DataFrame, limit: int = BROADCAST_BYTES) -> list[np.ndarray]:
-    """The codebook as one matrix per level; refuses tables above ``limit`` bytes."""
-    size = codebook_bytes(codebook)
-    if size > limit:
-        raise ValueError(f"codebook of {size} bytes exceeds the broadcast limit of {limit}")
-    rows = codebook.orderBy("level", "code").collect()
-    levels: dict[int, list] = {}
-    for row in rows:
-        book = levels.setdefault(row.level, [])
-        if row.code != len(book):
-            raise ValueError(f"level {row.level} lacks code {len(book)}")
-        book.append(row.centroid)
-    if sorted(levels) != list(range(len(levels))):
-        raise ValueError(f"levels are not 0..L-1: {sorted(levels)}")
-    return [np.array(levels[i], dtype=np.float64) for i in range(len(levels))]
+def fetch_levels(codebook: DataFrame, limit: int = BROADCAST_BYTES) -> list[np.ndarray] | None:
+    """The codebook as one matrix per level, or ``None`` if it exceeds ``limit`` bytes."""
+    if codebook_bytes(codebook) > limit:
+        return None
+    levels: dict[int, dict[int, list]] = {}
+    for row in codebook.select("level", "code", "centroid").collect():
+        levels.setdefault(row.level, {})[row.code] = row.centroid
+    for level in range(len(levels)):
+        book = levels.get(level, {})
+        if not book or sorted(book) != list(range(len(book))):
+            raise ValueError(f"codes of level {level} are not 0..K-1: {sorted(book)}")
+    return [
+        np.array([levels[i][c] for c in range(len(levels[i]))], dtype=np.float64)
+        for i in range(len(levels))
+    ]
+
+
+def _one_level(codebook: DataFrame, level: int) -> DataFrame:
+    return codebook.where(F.col("level") == level).withColumn("level", F.lit(0))
 
 
 def _arrow_map(df: DataFrame, inputs: list[str], added: list[T.StructField], work) -> DataFrame:
@@ -82,8 +86,10 @@ def codebook_distances(
 
     One array per row takes the place of a row per (vector, codeword) pair.
     """
-    book = fetch_levels(codebook)[level]
-    shipped = df.sparkSession.sparkContext.broadcast(book)
+    levels = fetch_levels(_one_level(codebook, level))
+    if levels is None:
+        raise ValueError("a distance per codeword needs a codebook within the broadcast limit")
+    shipped = df.sparkSession.sparkContext.broadcast(levels[0])
 
     def work(batch):
         d = k.distances(k.to_matrix(_column(batch, vec)), shipped.value)
@@ -102,11 +108,12 @@ def nearest_code(
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``code`` and ``distance`` of the nearest codeword, lowest code on ties."""
-    one = codebook.where(F.col("level") == level)
+    one = _one_level(codebook, level)
     added = [T.StructField("code", T.IntegerType()), T.StructField("distance", T.DoubleType())]
-    if codebook_bytes(one) > limit:
+    levels = fetch_levels(one, limit)
+    if levels is None:
         return _nearest_in_blocks(df, one, vec, limit)
-    book = fetch_levels(one.withColumn("level", F.lit(0)), limit)[0]
+    book = levels[0]
     shipped = df.sparkSession.sparkContext.broadcast((book, k.first_copies(book)))
 
     def work(batch):
@@ -166,9 +173,9 @@ def assign_codes(
     level, ``residual`` the vector that remains.
     """
     keep = [c for c in df.columns if c != vec] if keep is None else keep
-    if codebook_bytes(codebook) > limit:
-        return _assign_level_by_level(df, codebook, vec, keep, errors, residual, limit)
     levels = fetch_levels(codebook, limit)
+    if levels is None:
+        return _assign_level_by_level(df, codebook, vec, keep, errors, residual, limit)
     shipped = df.sparkSession.sparkContext.broadcast((levels, [k.first_copies(b) for b in levels]))
     codes = [T.StructField(f"code_{i}", T.IntegerType()) for i in range(len(levels))]
     extra = [_double_list("errors")] * errors + [_double_list("residual")] * residual
@@ -228,9 +235,7 @@ def decode(df: DataFrame, codebook: DataFrame, out: str = "reconstruction") -> D
             F.col("code").alias(name), F.col("centroid").alias(f"_word_{level}")
         )
         current = current.join(F.broadcast(words) if small else words, name)
-    total = F.col("_word_0")
-    for level in range(1, len(levels)):
-        total = add(total, F.col(f"_word_{level}"))
+    total = add([f"_word_{level}" for level in range(len(levels))])
     return current.select(*columns, total.alias(out))
 
 
@@ -259,7 +264,7 @@ def recon_loss(
     gaps = {"mse": squared_gap, "l1": absolute_gap}
     if kind not in gaps:
         raise ValueError(f"unknown loss {kind!r}")
-    gap = gaps[kind](F.col(vec), F.col(reconstruction))
+    gap = gaps[kind](vec, reconstruction)
     recon = F.sum(gap) / F.sum(F.size(vec))
     return df.agg(recon.alias("recon")).select(
         F.lit(kind).alias("kind"), "recon", (F.col("recon") + F.lit(weight * quant)).alias("total")

@@ -12,6 +12,7 @@ from sidforge.functions.tokens import code_columns, code_token, parse_code
 from sidforge.functions.vectors import norm
 from sidforge.operators.collisions import bucket_sizes, size_histogram
 from sidforge.operators.sampling import row_sample
+from sidforge.operators.skew import join_counted
 
 log = logging.getLogger(__name__)
 
@@ -23,7 +24,7 @@ PERCENTILES = [50, 90, 99]
 
 def parse_index(df: DataFrame) -> DataFrame:
     """Code tokens of an index table as integers."""
-    return df.withColumns({c: parse_code(F.col(c)) for c in code_columns(df)})
+    return df.withColumns({c: parse_code(c) for c in code_columns(df)})
 
 
 def level_usage(df: DataFrame, code_cols: list[str] | None = None) -> DataFrame:
@@ -57,7 +58,7 @@ def top_buckets(
 ) -> DataFrame:
     """The ``n`` largest buckets as rendered SID and size; ties by SID."""
     cols = code_cols or code_columns(df)
-    rendered = F.concat(*[code_token(i, F.col(c)) for i, c in enumerate(cols)])
+    rendered = F.concat(*[code_token(i, c) for i, c in enumerate(cols)])
     buckets = bucket_sizes(df, cols).select(rendered.alias("sid"), F.col("n").alias("bucket_size"))
     return buckets.orderBy(F.desc("bucket_size"), "sid").limit(n)
 
@@ -150,7 +151,7 @@ def norm_stats(
     df: DataFrame, sample_n: int = 200_000, seed: int = 0, vec: str = "embedding", idx: str = "idx"
 ) -> DataFrame:
     """L2 norms of a sample: size, extremes, median, mean, population deviation."""
-    length = row_sample(df.select(idx, vec), sample_n, seed, idx).select(norm(F.col(vec)).alias("x"))
+    length = row_sample(df.select(idx, vec), sample_n, seed, idx).select(norm(vec).alias("x"))
     return length.agg(
         F.count("*").alias("n"),
         F.min("x").alias("min_norm"),
@@ -176,8 +177,8 @@ def dup_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
     )
     pairs = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     once = pairs.agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("distinct"))
-    repeated = pairs.where("n > 1").select("h1", "h2")
-    values = rows.join(repeated, ["h1", "h2"], "left_semi").select("v").distinct()
+    repeated = pairs.where("n > 1")
+    values = join_counted(rows, repeated, ["h1", "h2"], how="left_semi").select("v").distinct()
     shared = values.agg(F.lit(0).cast("bigint").alias("total"), F.count("*").alias("distinct"))
     both = once.unionByName(shared).agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.sum("distinct").alias("distinct_vectors")

@@ -91,7 +91,7 @@ def block_sample(
     wanted = min(math.ceil(n / block_rows), total)
     blocks = df.sparkSession.range(total).withColumnRenamed("id", "_block")
     picks = smallest_keys(blocks, shuffle_key("_block", seed), wanted, "_block")
-    tagged = df.withColumn("_block", F.floor(F.col(idx) / F.lit(block_rows)))
+    tagged = df.withColumn("_block", F.expr(f"`{idx}` div {block_rows}"))
     small = wanted <= BROADCAST_BLOCKS
     chosen = tagged.join(F.broadcast(picks) if small else picks, "_block", "left_semi")
     surplus = wanted * block_rows - n
@@ -111,6 +111,7 @@ def shuffle_batches(
     ``batch`` of ``batch`` rows it falls in."""
     rows = df.count()
     digits = max(1, math.ceil(math.log(max(rows / 100_000, 2), 16)))
-    keyed = df.withColumn("_key", F.concat(shuffle_key(idx, epoch, seed), F.lpad(F.col(idx).cast("string"), 20, "0")))
+    whole_key = F.concat(shuffle_key(idx, epoch, seed), F.lpad(F.col(idx).cast("string"), 20, "0"))
+    keyed = df.withColumn("_key", whole_key)
     placed = bucketed_position(keyed, "_key", F.substring("_key", 1, digits), "position")
-    return placed.drop("_key").withColumn("batch", F.floor(F.col("position") / F.lit(batch)))
+    return placed.drop("_key").withColumn("batch", F.expr(f"position div {batch}"))

@@ -10,13 +10,14 @@ from sidforge.operators.collisions import dedup_rank
 from sidforge.operators.joins import finalize, join_index, lookup_mem, with_geo_sid
 from sidforge.operators.merges import MIN_COUNT, V_MEM, learn_merges, seq_freq, seq_mem_table
 from sidforge.operators.quantize import assign_codes
+from sidforge.session import materialize
 
 
 def build_index(
     vectors: DataFrame, codebook: DataFrame, vec: str = "embedding", dedup: bool = True
 ) -> DataFrame:
     """Index table: ``idx`` and one token per level, the dedup rank as the last."""
-    codes = assign_codes(vectors, codebook, vec, ["idx"])
+    codes = materialize(assign_codes(vectors, codebook, vec, ["idx"]), "codes")
     return render_tokens(dedup_rank(codes) if dedup else codes)
 
 

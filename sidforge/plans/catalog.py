@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidforge.functions.geo import geohash
+from sidforge.functions.geo import with_geohash
 from sidforge.functions.text import item_text
 from sidforge.functions.tokens import code_columns, parse_code, render_tokens, sid
 from sidforge.functions.vectors import norm, sanitize
 from sidforge.operators import balance, collisions, embed, fit, identity, joins, merges
 from sidforge.operators import project, quantize, report, sampling, selection
 from sidforge.plans import build, views
-from sidforge.session import scratch_path
+from sidforge.session import materialize, scratch_path
 from sidforge.sources import items as item_source
 from sidforge.sources import model as models
 from sidforge.sources import sinks
@@ -48,10 +48,11 @@ def long_form(df: DataFrame, key: list[str], vec: str) -> DataFrame:
 
 
 def int_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integer codes of all items."""
-    return quantize.assign_codes(
+    """Integer codes of all items, written once and read by every later step."""
+    codes = quantize.assign_codes(
         views.item_vectors(spark, sf_dir), views.codebook(spark, sf_dir), keep=["idx"]
     )
+    return materialize(codes, "codes")
 
 
 def clean_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +155,7 @@ def sink_embeddings(spark, sf_dir):
     back = sinks.write_embeddings(table, scratch_path(spark, "embeddings"))
     return back.select(
         "row_id", "item_id", F.size("embedding").alias("dim"),
-        r6(norm(F.col("embedding"))).alias("norm"),
+        r6(norm("embedding")).alias("norm"),
         r6(F.col("embedding")[0].cast("double")).alias("first_value"),
     )
 
@@ -190,10 +191,8 @@ def stringify_nulls(spark, sf_dir):
 
 @query
 def geohash_encode(spark, sf_dir):
-    lng, lat = F.col("i_lng"), F.col("i_lag")
-    return views.items(spark, sf_dir).select(
-        "idx", geohash(lng, lat).alias("geohash"), geohash(lng, lat, 9).alias("geohash_9")
-    )
+    coarse = with_geohash(views.items(spark, sf_dir))
+    return with_geohash(coarse, "geohash_9", precision=9).select("idx", "geohash", "geohash_9")
 
 
 @query
@@ -210,7 +209,7 @@ def geo_drop_rate(spark, sf_dir):
 @query
 def item_text_(spark, sf_dir):
     return views.items(spark, sf_dir).select(
-        "idx", item_text(F.col("brand"), F.col("title"), F.col("description")).alias("text")
+        "idx", item_text().alias("text")
     )
 
 
@@ -232,7 +231,7 @@ def embed_dim_check(spark, sf_dir):
 @query
 def embedding_preview(spark, sf_dir):
     texts = views.items(spark, sf_dir).select(
-        "idx", item_text(F.col("brand"), F.col("title"), F.col("description")).alias("text")
+        "idx", item_text().alias("text")
     )
     table = views.item_vectors(spark, sf_dir).join(texts, "idx")
     shown = vector_source.preview(table, "idx", "text")
@@ -248,7 +247,7 @@ def validate_vectors(spark, sf_dir):
 
 @query
 def sanitize_vectors(spark, sf_dir):
-    table = views.dirty_vectors(spark, sf_dir).withColumn("embedding", sanitize(F.col("embedding")))
+    table = views.dirty_vectors(spark, sf_dir).withColumn("embedding", sanitize("embedding"))
     return long_form(table, ["vec_id"], "embedding")
 
 
@@ -271,13 +270,13 @@ def code_token(spark, sf_dir):
 @query
 def parse_code_(spark, sf_dir):
     index = index_table(spark, sf_dir)
-    return index.select("idx", *[parse_code(F.col(c)).alias(c) for c in code_columns(index)])
+    return index.select("idx", *[parse_code(c).alias(c) for c in code_columns(index)])
 
 
 @query
 def sid_concat(spark, sf_dir):
     index = index_table(spark, sf_dir)
-    return index.select("idx", sid(index).alias("sid"))
+    return index.select("idx", sid(code_columns(index)).alias("sid"))
 
 
 @query
@@ -520,9 +519,7 @@ def exclusive_items(spark, sf_dir):
 
 
 def _geo_codes(spark, sf_dir) -> DataFrame:
-    places = views.items(spark, sf_dir).select(
-        "idx", geohash(F.col("i_lng"), F.col("i_lag"), 3).alias("geohash")
-    )
+    places = with_geohash(views.items(spark, sf_dir), precision=3).select("idx", "geohash")
     return joins.join_index(places, int_codes(spark, sf_dir))
 
 
@@ -609,7 +606,7 @@ def best_pair(spark, sf_dir):
 def merge_pair(spark, sf_dir):
     seqs = corpus(spark, sf_dir)
     best = merges.best_pair(merges.pair_counts(seqs)).first()
-    merged = merges.merge_pair(F.col("seq"), F.lit(best.a), F.lit(best.b), F.lit("<m_1>"))
+    merged = merges.merge_pair("seq", f"'{best.a}'", f"'{best.b}'", "'<m_1>'")
     return seqs.select(_joined("seq").alias("seq"), F.concat_ws("", merged).alias("merged"), "n")
 
 
@@ -660,7 +657,7 @@ def mem_sid(spark, sf_dir):
     gen = code_columns(tokens)
     rules, _, _ = merges.learn_merges(merges.seq_freq(tokens, gen), MERGES, MERGE_MIN)
     replayed = merges.apply_merges(tokens.select("idx", F.array(*gen).alias("seq")), rules)
-    return replayed.select("idx", merges.mem_sid(F.col("produced")).alias("mem_sid"))
+    return replayed.select("idx", merges.mem_sid().alias("mem_sid"))
 
 
 @query

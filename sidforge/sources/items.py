@@ -8,8 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidforge.functions.geo import geohash
-from sidforge.functions.text import is_blank, stringified
+from sidforge.functions.geo import with_geohash
+from sidforge.functions.text import is_blank_sql, stringified_sql
 
 log = logging.getLogger(__name__)
 
@@ -47,42 +47,40 @@ def select_fields(df: DataFrame, fields: list[str] | None = None, precision: int
     if missing:
         log.warning("fields not in the table, left empty: %s", missing)
 
-    def source(name: str):
-        return F.lit(None).cast("string") if name in missing else F.col(name)
+    def source(name: str) -> str:
+        return "cast(null as string)" if name in missing else f"`{name}`"
 
-    columns = []
-    for name in fields:
-        if name == GEOHASH:
-            columns.append(geohash(source(LNG), source(LAT), precision).alias(GEOHASH))
-        else:
-            columns.append(source(name).alias(name))
-    return df.select(*columns)
+    picked = df.selectExpr(*[f"{source(f)} as `{f}`" for f in wanted])
+    if GEOHASH in fields:
+        picked = with_geohash(picked, GEOHASH, LNG, LAT, precision)
+    return picked.select(*fields)
 
 
 def stringify(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Every field as text, null as the empty string."""
-    names = fields or df.columns
-    return df.withColumns({n: stringified(F.col(n)) for n in names})
+    names = set(fields or df.columns)
+    return df.selectExpr(
+        *[f"{stringified_sql(f'`{c}`')} as `{c}`" if c in names else f"`{c}`" for c in df.columns]
+    )
 
 
-def blank_geo():
-    """True where either coordinate is empty or white space."""
-    return is_blank(F.col(LNG)) | is_blank(F.col(LAT))
+# True where either coordinate is empty or white space.
+BLANK_GEO = f"({is_blank_sql(LNG)} or {is_blank_sql(LAT)})"
 
 
 def drop_blank_geo(df: DataFrame) -> DataFrame:
     """Rows with both coordinates filled in; text that is no number stays."""
-    return df.where(~blank_geo())
+    return df.where(f"not {BLANK_GEO}")
 
 
 def geo_drop_stats(df: DataFrame) -> DataFrame:
     """One row: rows before, dropped, kept, and the dropped share in percent."""
-    counts = df.select(blank_geo().alias("blank")).agg(
+    counts = df.selectExpr(f"{BLANK_GEO} as blank").agg(
         F.count("*").alias("total"), F.count_if("blank").alias("dropped")
     )
-    return counts.select(
+    return counts.selectExpr(
         "total",
         "dropped",
-        (F.col("total") - F.col("dropped")).alias("kept"),
-        F.try_divide(F.col("dropped") * F.lit(100.0), F.col("total")).alias("dropped_pct"),
+        "total - dropped as kept",
+        "try_divide(dropped * 100D, total) as dropped_pct",
     )

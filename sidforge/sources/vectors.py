@@ -89,8 +89,8 @@ def dim_mismatch(df: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
 def sanitize_counts(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """One row: NaN (with null) and infinite elements."""
     return df.agg(
-        F.sum(nan_count(F.col(vec))).alias("nan_values"),
-        F.sum(inf_count(F.col(vec))).alias("inf_values"),
+        F.sum(nan_count(vec)).alias("nan_values"),
+        F.sum(inf_count(vec)).alias("inf_values"),
     )
 
 
@@ -100,7 +100,7 @@ def vector_stats(df: DataFrame, vec: str = "embedding") -> DataFrame:
     return df.agg(
         F.min(F.array_min(vec)).cast("double").alias("min_value"),
         F.max(F.array_max(vec)).cast("double").alias("max_value"),
-        (F.sum(total(F.col(vec))) / F.sum(F.size(vec))).alias("mean_value"),
+        (F.sum(total(vec)) / F.sum(F.size(vec))).alias("mean_value"),
     )
 
 
@@ -114,6 +114,6 @@ def preview(df: DataFrame, key: str, text: str, vec: str = "embedding", k: int =
             F.substring(text, 1, 300).alias("input"),
             F.slice(vec, 1, 5).alias("first5"),
             F.slice(vec, -5, 5).alias("last5"),
-            F.round(norm(F.col(vec)), 4).alias("norm"),
+            F.round(norm(vec), 4).alias("norm"),
         )
     )

@@ -13,7 +13,7 @@ def checked(vec: str, dim: int):
     """The vector, sanitized; a row that is null or of another width fails the batch."""
     width = F.coalesce(F.size(vec), F.lit(-1))
     problem = F.concat(F.lit(f"expected {dim} elements, found "), width.cast("string"))
-    return F.when(width == dim, sanitize(F.col(vec))).otherwise(
+    return F.when(width == dim, sanitize(vec)).otherwise(
         F.raise_error(problem).cast("array<float>")
     )
 
