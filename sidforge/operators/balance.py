@@ -173,7 +173,7 @@ def _large_batches(df: DataFrame, batch, key, eps, iters, dist) -> DataFrame:
         for table in tables:
             code = np.empty(table.num_rows, dtype=np.int32)
             for one, chosen in split(table):
-                code[chosen] = (kernel_of(table, chosen, one) * final.value[one]).argmax(axis=1)
+                code[chosen] = k.heaviest(kernel_of(table, chosen, one) * final.value[one])
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column(table.schema.get_field_index(key)),

@@ -7,6 +7,8 @@ import pyarrow as pa
 
 # Rows handled by one matrix product.
 SLICE_ROWS = 4096
+# Balanced weights closer than this share of the largest count as equal.
+TIE_MARGIN = 1e-9
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:
@@ -109,13 +111,24 @@ def next_weights(pull: np.ndarray) -> np.ndarray:
     return v / v.max()
 
 
+def heaviest(weights: np.ndarray) -> np.ndarray:
+    """Lowest code among the largest weights of each row.
+
+    A batch with fewer rows than codes leaves whole columns to one row, whose
+    weights are then equal but for rounding. The margin keeps the choice
+    independent of the order in which sums were taken.
+    """
+    top = weights.max(axis=1, keepdims=True)
+    return (weights >= top * (1.0 - TIE_MARGIN)).argmax(axis=1)
+
+
 def balanced_codes(d: np.ndarray, eps: float, iters: int) -> np.ndarray:
     """Balanced code of each row of one whole batch."""
     kernel = balanced_kernel(d, d.min(), d.max(), eps)
     v = np.ones(d.shape[1])
     for _ in range(iters):
         v = next_weights(column_pull(kernel, v))
-    return (kernel * v).argmax(axis=1)
+    return heaviest(kernel * v)
 
 
 def separate(

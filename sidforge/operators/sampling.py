@@ -95,8 +95,8 @@ def block_sample(
     small = wanted <= BROADCAST_BLOCKS
     chosen = tagged.join(F.broadcast(picks) if small else picks, "_block", "left_semi")
     surplus = wanted * block_rows - n
-    if surplus > 0 and rows >= block_rows:
-        # All picks are whole blocks, so the cut falls in the last one.
+    if surplus > 0:
+        # All picks before the last are whole blocks, so the cut falls there.
         last = picks.agg(F.max("_block")).first()[0]
         keep = block_rows - surplus
         offset = F.col(idx) - F.col("_block") * F.lit(block_rows)
