@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sidforge.operators import kernels as k
+from sidforge.operators.quantize import codebook_distances, nearest_code
 from sidforge.operators.skew import join_counted
 from sidforge.session import discard, materialize
 
@@ -184,3 +185,42 @@ def _large_batches(df: DataFrame, batch, key, eps, iters, dist) -> DataFrame:
             )
 
     return rows.mapInArrow(choose, schema)
+
+
+def assign_codes_balanced(
+    df: DataFrame,
+    codebook: DataFrame,
+    batch: str,
+    epsilons: list[float],
+    key: str = "idx",
+    vec: str = "embedding",
+    iters: int = 50,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """Residual codes with balanced levels: ``(key, batch, code_0 .. code_{L-1})``.
+
+    Level ``i`` is balanced within each batch where ``epsilons[i] > 0`` and takes
+    the nearest codeword elsewhere, as the quantizer does while it is fitted.
+    """
+    current = df.select(key, batch, F.col(vec).cast("array<double>").alias("_rest"))
+    names: list[str] = []
+    for level, eps in enumerate(epsilons):
+        name = f"code_{level}"
+        book = codebook.where(F.col("level") == level)
+        if eps <= 0:
+            coded = nearest_code(current, codebook, level, "_rest").drop("distance")
+        else:
+            measured = codebook_distances(current.select(key, batch, "_rest"), codebook, level, "_rest")
+            solved = sinkhorn_assign(measured, batch, key, eps, iters, task_rows=task_rows)
+            coded = current.join(solved.select(key, "code"), key)
+        words = book.select("code", "centroid")
+        rest = F.expr("zip_with(_rest, centroid, (r, c) -> r - c)")
+        names.append(name)
+        current = materialize(
+            coded.join(F.broadcast(words), "code")
+            .withColumn("_rest", rest)
+            .withColumnRenamed("code", name)
+            .select(key, batch, "_rest", *names),
+            "balanced",
+        )
+    return current.drop("_rest")

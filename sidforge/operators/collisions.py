@@ -16,7 +16,12 @@ from sidforge.functions.tokens import code_columns
 from sidforge.operators import kernels as k
 from sidforge.operators.balance import TASK_ROWS, sinkhorn_assign
 from sidforge.operators.identity import CHUNK_ROWS, rank_within
-from sidforge.operators.quantize import assign_codes, codebook_distances
+from sidforge.operators.quantize import (
+    assign_codes,
+    codebook_distances,
+    fetch_levels,
+    nearest_code,
+)
 from sidforge.operators.skew import join_counted
 from sidforge.session import materialize
 
@@ -118,14 +123,16 @@ def resolve_collisions(
     levels = codebook.agg(F.max("level")).first()[0] + 1
     prefix = [f"code_{i}" for i in range(levels - 1)]
     last = f"code_{levels - 1}"
+    names = [*prefix, last]
     if levels > 1:
         left = assign_codes(df, codebook.where(F.col("level") < levels - 1), vec, [idx], residual=True)
     else:
         left = df.select(idx, F.col(vec).cast("array<double>").alias("residual"))
-    # The distances of the last level depend on the item alone.
-    reached = codebook_distances(left, codebook, levels - 1, "residual").drop("residual")
-    nearest = F.array_position(F.col("distances"), F.array_min("distances")) - 1
-    state = materialize(reached.withColumn(last, nearest.cast("int")), "codes")
+    # What the last level sees of an item never changes. The residual is kept
+    # instead of its distances, which are as wide as the codebook.
+    found = nearest_code(left, codebook, levels - 1, "residual")
+    state = materialize(found.select(idx, *prefix, F.col("code").alias(last), "residual"), "codes")
+    book = codebook.where(F.col("level") == levels - 1).withColumn("level", F.lit(0))
 
     shared = bucket_sizes(state, [*prefix, last]).groupBy(*prefix).agg(
         F.max("n").alias("_most"), F.sum("n").alias("_size")
@@ -134,32 +141,33 @@ def resolve_collisions(
     sized = materialize(shared.where("_most > 1"), "prefixes")
     small = sized.where(F.col("_size") <= task_rows).select(*prefix)
     large = sized.where(F.col("_size") > task_rows).select(*prefix)
-    names = [*prefix, last]
     if not prefix:
         # A single level has one prefix, the whole table.
-        return _repair_spread(state, names, rounds, eps, iters, idx, task_rows)
+        return _repair_spread(state, book, names, rounds, eps, iters, idx, task_rows)
     # At most rows / task_rows prefixes are large.
     big = F.broadcast(large)
     calm = state.join(big, prefix, "left_anti")
     quiet = calm.join(small, prefix, "left_anti").select(idx, *names)
-    inside = _repair_in_tasks(calm.join(small, prefix, "left_semi"), names, rounds, eps, iters, idx)
+    crowded = calm.join(small, prefix, "left_semi")
+    inside = _repair_in_tasks(crowded, book, names, rounds, eps, iters, idx)
     result = quiet.unionByName(inside)
     if not large.isEmpty():
-        crowded = state.join(big, prefix, "left_semi")
+        huge = state.join(big, prefix, "left_semi")
         result = result.unionByName(
-            _repair_spread(crowded, names, rounds, eps, iters, idx, task_rows)
+            _repair_spread(huge, book, names, rounds, eps, iters, idx, task_rows)
         )
     return result
 
 
-def _repair_in_tasks(df, names, rounds, eps, iters, idx) -> DataFrame:
+def _repair_in_tasks(df, book, names, rounds, eps, iters, idx) -> DataFrame:
     """All rounds of a prefix inside one task."""
     *prefix, last = names
     schema = T.StructType([df.schema[c] for c in (idx, *names)])
+    shipped = df.sparkSession.sparkContext.broadcast(fetch_levels(book)[0])
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.sort_by(idx)
-        distances = k.to_matrix(table.column("distances"))
+        distances = k.distances(k.to_matrix(table.column("residual")), shipped.value)
         codes = k.separate(distances, table.column(last).to_numpy(), rounds, eps, iters)
         columns = {c: table.column(c) for c in (idx, *prefix)}
         return pa.table(columns | {last: pa.array(codes, pa.int32())})
@@ -167,16 +175,17 @@ def _repair_in_tasks(df, names, rounds, eps, iters, idx) -> DataFrame:
     return df.groupBy(*prefix).applyInArrow(solve, schema)
 
 
-def _repair_spread(df, names, rounds, eps, iters, idx, task_rows) -> DataFrame:
+def _repair_spread(df, book, names, rounds, eps, iters, idx, task_rows) -> DataFrame:
     """Rounds over prefixes too large for a task."""
     last = names[-1]
-    distances = df.select(idx, "distances")
+    residuals = df.select(idx, "residual")
     codes, written = df.select(idx, *names), None
     for _ in range(rounds):
         members = collision_groups(codes, names, idx)
         batch = members.select(idx, F.concat_ws("-", *names).alias("batch"))
+        measured = codebook_distances(batch.join(residuals, idx), book, 0, "residual")
         moved = sinkhorn_assign(
-            batch.join(distances, idx), "batch", idx, eps, iters, task_rows=task_rows
+            measured.drop("residual"), "batch", idx, eps, iters, task_rows=task_rows
         )
         updated = codes.join(moved.select(idx, F.col("code").alias("_new")), idx, "left")
         changed = F.col("_new").isNotNull() & (F.col("_new") != F.col(last))

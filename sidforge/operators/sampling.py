@@ -21,6 +21,9 @@ LEAF_KEYS = 200_000
 DIGITS = 3
 KEY_DIGITS = 32
 BROADCAST_BLOCKS = 1_000_000
+# Up to this many blocks are also named to the reader as ranges of row numbers,
+# so files laid out in row order are read only where a block lies.
+PRUNED_BLOCKS = 1024
 
 
 def shuffle_key(idx: str, *salt: int) -> Column:
@@ -74,6 +77,15 @@ def row_sample(df: DataFrame, n: int, seed: int = 0, idx: str = "idx") -> DataFr
     return smallest_keys(df, shuffle_key(idx, seed), n, idx).orderBy(idx)
 
 
+def _in_ranges(col: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Membership in any range, as a balanced tree the reader can use to skip
+    row groups."""
+    if len(ranges) == 1:
+        return col.between(*ranges[0])
+    half = len(ranges) // 2
+    return _in_ranges(col, ranges[:half]) | _in_ranges(col, ranges[half:])
+
+
 def block_sample(
     df: DataFrame, n: int, block_rows: int = 100, seed: int = 2024, idx: str = "idx"
 ) -> DataFrame:
@@ -91,6 +103,9 @@ def block_sample(
     wanted = min(math.ceil(n / block_rows), total)
     blocks = df.sparkSession.range(total).withColumnRenamed("id", "_block")
     picks = smallest_keys(blocks, shuffle_key("_block", seed), wanted, "_block")
+    if wanted <= PRUNED_BLOCKS:
+        starts = sorted(r["_block"] * block_rows for r in picks.collect())
+        df = df.where(_in_ranges(F.col(idx), [(s, s + block_rows - 1) for s in starts]))
     tagged = df.withColumn("_block", F.expr(f"`{idx}` div {block_rows}"))
     small = wanted <= BROADCAST_BLOCKS
     chosen = tagged.join(F.broadcast(picks) if small else picks, "_block", "left_semi")

@@ -288,7 +288,7 @@ def geo_sid(spark, sf_dir):
 
 @query
 def center_distances(spark, sf_dir):
-    table = views.vectors(spark, sf_dir).withColumn("batch", F.floor(F.col("idx") / 128))
+    table = views.vectors(spark, sf_dir).withColumn("batch", F.expr("idx div 128"))
     measured = quantize.codebook_distances(table, views.codebook(spark, sf_dir))
     centred = balance.center_distances(measured, "batch")
     rows = quantize.distance_rows(centred, ["idx", "batch"])
@@ -432,7 +432,7 @@ def model_tables(spark, sf_dir):
 
 
 def _balanced(spark, sf_dir, rows_per_batch: int, task_rows: int) -> DataFrame:
-    table = views.vectors(spark, sf_dir).withColumn("batch", F.floor(F.col("idx") / rows_per_batch))
+    table = views.vectors(spark, sf_dir).withColumn("batch", F.expr(f"idx div {rows_per_batch}"))
     measured = quantize.codebook_distances(table, views.codebook(spark, sf_dir)).drop("embedding")
     return balance.sinkhorn_assign(measured, "batch", eps=0.05, iters=5, task_rows=task_rows)
 
@@ -448,6 +448,15 @@ def sinkhorn_assign_spread(spark, sf_dir):
     return _balanced(spark, sf_dir, 1 << 40, 256)
 
 
+@query
+def residual_quantize_balanced(spark, sf_dir):
+    """First and last level balanced in batches, the middle one nearest."""
+    table = views.vectors(spark, sf_dir).withColumn("batch", F.expr("idx div 128"))
+    return balance.assign_codes_balanced(
+        table, views.codebook(spark, sf_dir), "batch", [0.05, 0.0, 0.05], iters=4
+    )
+
+
 @query
 def pick_best_model(spark, sf_dir):
     return selection.select_models(views.runs(spark, sf_dir))

@@ -368,30 +368,70 @@ ORACLE["model_tables"] = "select * from codes"
 ORACLE["stream_assign"] = "select * from codes"
 
 
-def sinkhorn(batch: str, eps: float, iters: int) -> str:
-    """Normalise rows and columns of the long matrix in turn, then take the largest."""
+def sinkhorn_steps(p: str, source: str, batch: str, eps: float, iters: int) -> list[str]:
+    """CTEs that normalise rows and columns of the long matrix of ``source(vec_id,
+    code, d)`` in turn; the last, ``<p>_pick``, holds the code of the largest entry."""
     steps = [
-        f"q0 as materialized (select vec_id, {batch} as batch, code, "
+        f"{p}_q0 as materialized (select vec_id, {batch} as batch, code, "
         "exp(-((d - middle) / (high - middle + 1e-5)) / "
         f"{eps}::double) as q from (select *, max(d) over w as high, (max(d) over w + min(d) over w) / 2 "
-        f"as middle from level0 window w as (partition by {batch})))"
+        f"as middle from {source} window w as (partition by {batch})))"
     ]
     for i in range(iters):
         steps.append(
-            f"r{i} as materialized (select vec_id, batch, code, q / sum(q) over "
-            f"(partition by batch, vec_id) as q from q{i})"
+            f"{p}_r{i} as materialized (select vec_id, batch, code, q / sum(q) over "
+            f"(partition by batch, vec_id) as q from {p}_q{i})"
         )
         steps.append(
-            f"q{i + 1} as materialized (select vec_id, batch, code, q / sum(q) over "
-            f"(partition by batch, code) / {CODES} as q from r{i})"
+            f"{p}_q{i + 1} as materialized (select vec_id, batch, code, q / sum(q) over "
+            f"(partition by batch, code) / {CODES} as q from {p}_r{i})"
         )
-    body = (
-        "select vec_id as idx, batch, code from (select *, row_number() over "
-        f"(partition by vec_id order by q desc, code) as place from q{iters}) where place = 1"
+    steps.append(
+        f"{p}_pick as materialized (select vec_id, batch, code from (select *, row_number() over "
+        f"(partition by vec_id order by q desc, code) as place from {p}_q{iters}) where place = 1)"
+    )
+    return steps
+
+
+def with_steps(base: str, steps: list[str], body: str) -> str:
+    """A query whose own CTEs ``steps`` follow the shared CTEs that ``base`` names."""
+    shared = with_ctes(base)[: -len(base)].rstrip()
+    return shared + ",\n" + ",\n".join(steps) + "\n" + body
+
+
+def sinkhorn(batch: str, eps: float, iters: int) -> str:
+    return with_steps(
+        "select level0",
+        sinkhorn_steps("s", "level0", batch, eps, iters),
+        "select vec_id as idx, batch, code from s_pick",
+    )
+
+
+def left_over(source: str, vector: str, picks: str, level: int) -> str:
+    return (
+        f"select s.vec_id, list_transform(list_zip(s.{vector}, c), lambda z: z[1] - z[2]) as rest "
+        f"from {source} s join {picks} p using (vec_id) join cb on cb.level = {level} and cb.code = p.code"
+    )
+
+
+def measured(source: str, level: int) -> str:
+    gap = GAP.format(a="s.rest", b="cb.c")
+    return f"select s.vec_id, cb.code, {gap} as d from {source} s, cb where cb.level = {level}"
+
+
+def balanced_codes() -> str:
+    """Level 0 balanced, level 1 nearest, level 2 balanced."""
+    steps = sinkhorn_steps("x", "level0", "vec_id // 128", 0.05, 4)
+    steps.append(f"left0 as materialized ({left_over('vec', 'x', 'x_pick', 0)})")
+    steps.append(f"mid as materialized ({nearest('left0', 'rest', 'vec_id', 1)})")
+    steps.append(f"gap2 as materialized ({measured('mid', 2)})")
+    steps += sinkhorn_steps("z", "gap2", "vec_id // 128", 0.05, 4)
+    return with_steps(
+        "select level0, vec, cb",
+        steps,
+        "select vec_id as idx, x_pick.batch, x_pick.code as code_0, mid.code as code_1, "
+        "z_pick.code as code_2 from x_pick join mid using (vec_id) join z_pick using (vec_id)",
     )
-    return with_ctes("select 1 from level0").rsplit("select 1", 1)[0].rstrip() + ",\n" + ",\n".join(
-        steps
-    ) + "\n" + body
 
 
 CTES["run_epochs"] = (
@@ -627,4 +667,5 @@ ORACLE["final_table"] = (
 SINKHORN = {
     "sinkhorn_assign": sinkhorn("vec_id // 128", 0.05, 5),
     "sinkhorn_assign_spread": sinkhorn("0", 0.05, 5),
+    "residual_quantize_balanced": balanced_codes(),
 }

@@ -33,10 +33,12 @@ def test_cutoff_with_equal_keys(spark):
     assert sorted(r.idx for r in same.collect()) == list(range(30))
 
 
+@pytest.mark.parametrize("pruned", [0, 1024])
 @pytest.mark.parametrize(
     "rows, n", [(1000, 250), (1000, 300), (1050, 2000), (1050, 1000), (40, 10), (40, 500), (100, 100), (1000, 1)]
 )
-def test_block_sample(spark, rows, n):
+def test_block_sample(spark, rows, n, pruned, monkeypatch):
+    monkeypatch.setattr(sampling, "PRUNED_BLOCKS", pruned)
     got = [r.idx for r in sampling.block_sample(spark.range(rows).toDF("idx"), n).collect()]
     total = max(rows // 100, 1)
     wanted = min(n, rows)
@@ -45,6 +47,13 @@ def test_block_sample(spark, rows, n):
     assert got == blocks[:wanted]
 
 
+def test_blocks_are_named_to_the_reader(spark, folder):
+    spark.range(100_000).toDF("idx").write.parquet(f"{folder}/rows")
+    sample = sampling.block_sample(spark.read.parquet(f"{folder}/rows"), 300)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan and sample.count() == 300
+
+
 def test_shuffles_are_permutations(spark):
     df = spark.range(3000).toDF("idx")
     orders = []
