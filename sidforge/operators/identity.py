@@ -1,8 +1,8 @@
 """Row numbers and ranks without a single-task window.
 
-Ranks are always built from two parts: a position inside a chunk of bounded
-size, and the rows before that chunk. Only the second part looks at more than
-one chunk, and it reads one number per chunk.
+A rank is built from two parts: a position inside a chunk of bounded size, and
+the rows before that chunk. Only the second part looks at more than one chunk,
+and it reads one number per chunk.
 """
 
 from __future__ import annotations
@@ -29,12 +29,15 @@ def file_starts(df: DataFrame) -> DataFrame:
     return files.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
 
 
-def with_file_idx(df: DataFrame, idx: str = "idx") -> DataFrame:
+def with_file_idx(df: DataFrame, idx: str = "idx", only: list[str] | None = None) -> DataFrame:
     """Number rows 0..n-1 in (file name, row) order, for a frame just read from files.
 
     The position inside a file comes from the reader, so no row is shuffled.
+    ``only`` limits reading to some files; their rows keep their numbers.
     """
     starts = materialize(file_starts(df), "file-starts")
+    if only is not None:
+        df = df.where(F.col("_metadata.file_path").isin(only))
     small = starts.count() <= BROADCAST_FILES
     located = df.select(
         "*",
@@ -43,7 +46,7 @@ def with_file_idx(df: DataFrame, idx: str = "idx") -> DataFrame:
     )
     offsets = starts.select("_file", "_start")
     joined = located.join(F.broadcast(offsets) if small else offsets, "_file")
-    return joined.withColumn(idx, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+    return joined.withColumn(idx, F.expr("_start + _row")).drop("_file", "_row", "_start")
 
 
 def take_first(df: DataFrame, n: int, idx: str = "idx") -> DataFrame:
@@ -95,33 +98,42 @@ def rank_within(
 ) -> DataFrame:
     """1-based position of each row among the rows of its group.
 
-    ``order_col`` is a row number, so a chunk ``order_col div chunk_rows`` holds
-    at most ``chunk_rows`` rows of a group however large the group is. A group
-    within one chunk needs no offset; the offsets table holds only later chunks.
+    Groups of at most ``chunk_rows`` rows are ranked by one window. A larger
+    group is cut into chunks: ``order_col`` is a row number, so a chunk
+    ``order_col div chunk_rows`` holds at most ``chunk_rows`` rows. The rows
+    before each chunk are added afterwards. Rows are shuffled once either way,
+    by (group, chunk).
     """
-    tagged = df.withColumn("_chunk", F.expr(f"`{order_col}` div {chunk_rows}"))
+    sizes = df.groupBy(*group_cols).agg(F.count("*").alias("_rows"))
+    # At most rows / chunk_rows groups.
+    large = sizes.where(F.col("_rows") > chunk_rows).drop("_rows").withColumn("_large", F.lit(True))
+    tagged = _join_null_safe(df, F.broadcast(large), group_cols, ["_large"]).withColumn(
+        "_chunk", F.expr(f"if(_large, `{order_col}` div {chunk_rows}, 0L)")
+    )
     local = W.partitionBy(*group_cols, "_chunk").orderBy(order_col)
     ranked = tagged.withColumn("_local", F.row_number().over(local))
 
-    sizes = tagged.groupBy(*group_cols, "_chunk").agg(F.count("*").alias("_rows"))
+    chunks = tagged.where("_large").groupBy(*group_cols, "_chunk").agg(F.count("*").alias("_rows"))
     before = W.partitionBy(*group_cols).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.sum("_rows").over(before)).where("_before > 0")
-
-    left = ranked.alias("l")
-    right = offsets.alias("r")
-    match = F.col("l._chunk") == F.col("r._chunk")
-    for c in group_cols:
-        match = match & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    position = F.col("l._local") + F.coalesce(F.col("r._before"), F.lit(0))
-    return left.join(right, match, "left").select(
-        *[F.col(f"l.{c}") for c in df.columns], position.cast("int").alias(rank)
-    )
+    offsets = chunks.withColumn("_before", F.sum("_rows").over(before)).drop("_rows")
+    placed = _join_null_safe(ranked, offsets, [*group_cols, "_chunk"], ["_before"])
+    position = F.expr("cast(_local + coalesce(_before, 0) as int)")
+    return placed.select(*df.columns, position.alias(rank))
+
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], added: list[str]) -> DataFrame:
+    """Left join where null keys match each other."""
+    match = F.expr(" and ".join(f"l.`{c}` <=> r.`{c}`" for c in keys))
+    columns = [F.col(f"l.`{c}`") for c in left.columns] + [F.col(f"r.`{c}`") for c in added]
+    return left.alias("l").join(right.alias("r"), match, "left").select(*columns)
 
-def bucketed_position(df: DataFrame, key: str, bucket: Column, position: str) -> DataFrame:
-    """0-based position of each row in the order of ``key``.
 
-    ``bucket`` is a prefix of the key that cuts the rows into many even parts.
+def bucketed_position(
+    df: DataFrame, order: list[str], bucket: Column, position: str
+) -> DataFrame:
+    """0-based position of each row in the order of ``order``.
+
+    ``bucket`` grows with the order and cuts the rows into many even parts.
     """
     tagged = df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy("_bucket").agg(F.count("*").alias("_rows"))
@@ -129,7 +141,7 @@ def bucketed_position(df: DataFrame, key: str, bucket: Column, position: str) ->
     starts = sizes.select(
         "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
-    local = F.row_number().over(W.partitionBy("_bucket").orderBy(key)) - 1
+    local = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
     return (
         tagged.withColumn("_local", local)
         .join(starts, "_bucket")

@@ -151,7 +151,7 @@ def norm_stats(
     df: DataFrame, sample_n: int = 200_000, seed: int = 0, vec: str = "embedding", idx: str = "idx"
 ) -> DataFrame:
     """L2 norms of a sample: size, extremes, median, mean, population deviation."""
-    length = row_sample(df.select(idx, vec), sample_n, seed, idx).select(norm(vec).alias("x"))
+    length = row_sample(df.select(idx, vec), sample_n, seed, idx, False).select(norm(vec).alias("x"))
     return length.agg(
         F.count("*").alias("n"),
         F.min("x").alias("min_norm"),
@@ -196,4 +196,4 @@ def dup_vectors_sample(
     df: DataFrame, sample_n: int = 200_000, seed: int = 0, vec: str = "embedding", idx: str = "idx"
 ) -> DataFrame:
     """:func:`dup_vectors` within a row sample."""
-    return dup_vectors(row_sample(df.select(idx, vec), sample_n, seed, idx), vec)
+    return dup_vectors(row_sample(df.select(idx, vec), sample_n, seed, idx, False), vec)

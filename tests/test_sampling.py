@@ -29,16 +29,14 @@ def test_row_sample(spark, n, leaf, monkeypatch):
 
 def test_cutoff_with_equal_keys(spark):
     df = spark.range(100).toDF("idx")
-    same = sampling.smallest_keys(df, F.lit("f" * 32), 30)
+    same = sampling.smallest_keys(df, F.lit("f" * 16), 30)
     assert sorted(r.idx for r in same.collect()) == list(range(30))
 
 
-@pytest.mark.parametrize("pruned", [0, 1024])
 @pytest.mark.parametrize(
     "rows, n", [(1000, 250), (1000, 300), (1050, 2000), (1050, 1000), (40, 10), (40, 500), (100, 100), (1000, 1)]
 )
-def test_block_sample(spark, rows, n, pruned, monkeypatch):
-    monkeypatch.setattr(sampling, "PRUNED_BLOCKS", pruned)
+def test_block_sample(spark, rows, n):
     got = [r.idx for r in sampling.block_sample(spark.range(rows).toDF("idx"), n).collect()]
     total = max(rows // 100, 1)
     wanted = min(n, rows)
@@ -47,11 +45,24 @@ def test_block_sample(spark, rows, n, pruned, monkeypatch):
     assert got == blocks[:wanted]
 
 
-def test_blocks_are_named_to_the_reader(spark, folder):
-    spark.range(100_000).toDF("idx").write.parquet(f"{folder}/rows")
-    sample = sampling.block_sample(spark.read.parquet(f"{folder}/rows"), 300)
-    plan = sample._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [Or(" in plan and sample.count() == 300
+def test_block_sample_opens_only_the_files_it_needs(spark, folder):
+    spark.range(100_000).selectExpr("id as value").repartitionByRange(40, "value").sortWithinPartitions(
+        "value"
+    ).write.parquet(f"{folder}/rows")
+    read = lambda: spark.read.parquet(f"{folder}/rows")
+    assert sampling.block_sample_files(read(), 10**6).count() == 100_000
+    sample = sampling.block_sample_files(read(), 450)
+    whole = [r.idx for r in sampling.block_sample(spark.range(100_000).toDF("idx"), 450).collect()]
+    # All other files are spoilt before the rows are read.
+    files = sorted(Path(f"{folder}/rows").glob("part-*"))
+    sizes = [spark.read.parquet(str(f)).count() for f in files]
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    needed = {next(f for f, end in zip(files, ends) if i < end) for i in whole}
+    assert len(needed) < 10
+    for f in set(files) - needed:
+        f.write_bytes(b"x" * f.stat().st_size)
+    rows = sample.collect()
+    assert [r.idx for r in rows] == whole and all(r.idx == r.value for r in rows)
 
 
 def test_shuffles_are_permutations(spark):
