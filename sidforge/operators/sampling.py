@@ -15,7 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sidforge.operators.identity import bucketed_position, file_starts, with_file_idx
+from sidforge.operators.identity import (
+    BROADCAST_FILES,
+    bucketed_position,
+    file_starts,
+    with_file_idx,
+)
 
 # Hex digits of a key, and digits fixed per counting pass: at most 4096 counts
 # reach the driver.
@@ -24,6 +29,8 @@ STEP_DIGITS = 3
 # Keys sorted in one task once the cut has been narrowed.
 LEAF_KEYS = 200_000
 BROADCAST_BLOCKS = 1_000_000
+# Up to this many blocks are looked up on the driver to name the files they lie in.
+PRUNED_BLOCKS = 10_000
 # Rows of one part of a shuffle.
 PART_ROWS = 100_000
 
@@ -134,12 +141,17 @@ def block_sample_files(
 
     Only files that hold a picked block are opened.
     """
-    files = sorted(tuple(r) for r in file_starts(df).select("_start", "_rows", "_file").collect())
-    rows = sum(r[1] for r in files)
+    starts_table = file_starts(df)
+    size = starts_table.agg(F.sum("_rows").alias("rows"), F.count("*").alias("files")).first()
+    rows = size.rows or 0
     n = min(n, rows)
     if n <= 0:
         return with_file_idx(df, idx).limit(0)
     picks = pick_blocks(df.sparkSession, rows, n, block_rows, seed)
+    if size.files > BROADCAST_FILES or n / block_rows > PRUNED_BLOCKS:
+        # So many blocks lie in most files anyway.
+        return _rows_of_blocks(with_file_idx(df, idx), picks, n, block_rows, idx)
+    files = sorted(tuple(r) for r in starts_table.select("_start", "_rows", "_file").collect())
     first = np.array([r["_block"] for r in picks.collect()], dtype=np.int64) * block_rows
     starts = np.array([r[0] for r in files], dtype=np.int64)
     low = np.searchsorted(starts, first, side="right") - 1

@@ -311,7 +311,7 @@ CTES["hidden"] = (
 ORACLE["mlp_project"] = (
     "select vec_id as idx, u::int as pos, round(list_sum(list_transform(h, "
     "lambda e, i: e * ((((i - 1) * 7 + u * 3) % 11) - 5) / 10.0::double)) + u / 10.0::double, 6) as value "
-    "from hidden, range(4) as r(u)"
+    f"from hidden, range({CODES}) as r(u)"
 )
 ORACLE["codebook_distance"] = (
     "select vec_id as idx, code, round(d, 6) as distance from level0"

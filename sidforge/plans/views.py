@@ -94,7 +94,7 @@ def layers(spark: SparkSession, book: DataFrame) -> DataFrame:
         F.lit(0).alias("layer"), F.col("code").alias("unit"), F.col("centroid").alias("weights"),
         (F.col("code") / F.lit(100.0)).alias("bias"),
     )
-    second = book.where("level = 1 and code < 4").selectExpr(
+    second = book.where("level = 1").selectExpr(
         "1 as layer", "code as unit",
         f"transform(sequence(0, {CODES - 1}), i -> ((i * 7 + code * 3) % 11 - 5) / 10D) as weights",
         "code / 10D as bias",

@@ -27,11 +27,7 @@ def resolve_vector_column(columns: list[str], column: str | None = None) -> str
 def load_vectors(
     df: DataFrame, column: str | None = None, keep: list[str] | None = None
 ) -> DataFrame:
-    """The vector column as ``embedding array<float>`` beside the columns in ``keep``.
-
-    ``keep`` columns are row keys and take no part in the choice unless the
-    table has nothing else.
-    """
+    """The vector column as ``embedding array<float>`` beside the columns in ``keep``."""
     keep = keep or []
     name = resolve_vector_column(df.columns, column)
     if name is None:

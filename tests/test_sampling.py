@@ -45,12 +45,15 @@ def test_block_sample(spark, rows, n):
     assert got == blocks[:wanted]
 
 
-def test_block_sample_opens_only_the_files_it_needs(spark, folder):
+def test_block_sample_opens_only_the_files_it_needs(spark, folder, monkeypatch):
     spark.range(100_000).selectExpr("id as value").repartitionByRange(40, "value").sortWithinPartitions(
         "value"
     ).write.parquet(f"{folder}/rows")
     read = lambda: spark.read.parquet(f"{folder}/rows")
     assert sampling.block_sample_files(read(), 10**6).count() == 100_000
+    monkeypatch.setattr(sampling, "PRUNED_BLOCKS", 1)
+    unpruned = [r.idx for r in sampling.block_sample_files(read(), 450).collect()]
+    monkeypatch.undo()
     sample = sampling.block_sample_files(read(), 450)
     whole = [r.idx for r in sampling.block_sample(spark.range(100_000).toDF("idx"), 450).collect()]
     # All other files are spoilt before the rows are read.
@@ -62,7 +65,8 @@ def test_block_sample_opens_only_the_files_it_needs(spark, folder):
     for f in set(files) - needed:
         f.write_bytes(b"x" * f.stat().st_size)
     rows = sample.collect()
-    assert [r.idx for r in rows] == whole and all(r.idx == r.value for r in rows)
+    assert [r.idx for r in rows] == whole == unpruned
+    assert all(r.idx == r.value for r in rows)
 
 
 def test_shuffles_are_permutations(spark):
