@@ -1,17 +1,18 @@
 """Text to vector.
 
 The encoder is a plug-in: ``factory()`` runs once per task and returns a
-function from a list of texts to a matrix. The built-in encoder hashes words
-into buckets, which Spark computes itself.
+function from a list of texts to a matrix. The built-in encoder counts hashed
+words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,15 +25,23 @@ EMBED_DIM = 1536
 WORD_BREAK = r"[ \t\r\n\f]+"
 
 
-def word_buckets(text: Column, dim: int) -> Column:
+def word_buckets(words: list[str], dim: int) -> np.ndarray:
     """Bucket of every word: the first 32 bits of its md5, modulo ``dim``."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
-    return F.transform(
-        words,
-        lambda w: F.pmod(
-            F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)
-        ).cast("int"),
-    )
+    heads = (md5(w.encode(), usedforsecurity=False).hexdigest()[:8] for w in words)
+    return np.array([int(h, 16) % dim for h in heads], dtype=np.int64)
+
+
+def word_counts(lists: pa.ListArray, dim: int) -> np.ndarray:
+    """Words per bucket of each row. A distinct word is hashed once per batch."""
+    widths = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(lists)), widths)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    # Splitting leaves empty words at the ends of a text.
+    real = np.array([w != "" for w in words], dtype=np.float64)
+    cell = row * dim + word_buckets(words, dim)[place]
+    return np.bincount(cell, real[place], len(lists) * dim).reshape(len(lists), dim)
 
 
 def embed_text(
@@ -52,20 +61,18 @@ def embed_text(
     keep = [c for c in df.columns if c != text] if keep is None else keep
     added = [T.StructField("embedding", T.ArrayType(T.FloatType()))]
     if factory is None:
-        counted = df.select(*keep, word_buckets(F.col(text), dim).alias("_buckets"))
+        words = F.split(F.coalesce(F.col(text), F.lit("")), WORD_BREAK).alias("_words")
 
         def count_words(piece):
-            lists = _column(piece, "_buckets")
-            widths = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(lists)), widths)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = np.bincount(row * dim + flat, minlength=len(lists) * dim)
-            matrix = counts.reshape(len(lists), dim).astype(np.float64)
+            matrix = word_counts(_column(piece, "_words"), dim)
             length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
             matrix /= np.where(length == 0, 1.0, length)
             return {"embedding": k.to_lists(matrix.astype(np.float32), pa.float32())}
 
-        return _arrow_map(counted, [*keep, "_buckets"], added, count_words).drop("_buckets")
+        split = df.select(*keep, words)
+        return _arrow_map(split, [*keep, "_words"], added, count_words, [*keep]).select(
+            *keep, "embedding"
+        )
 
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = T.StructType([source.schema[c] for c in keep] + added)

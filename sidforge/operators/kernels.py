@@ -54,11 +54,18 @@ def first_copies(codebook: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, codebook: np.ndarray, repeats: np.ndarray):
-    """Lowest nearest code of each row and its distance."""
-    d = distances(x, codebook)
-    d[:, repeats] = np.inf
-    code = d.argmin(axis=1)
-    return code, d[np.arange(len(x)), code]
+    """Lowest nearest code of each row and its distance.
+
+    The squared length of the row is the same for every codeword, so it joins
+    only the winner.
+    """
+    gap = x @ (-2.0 * codebook.T)
+    gap += (codebook * codebook).sum(axis=1)
+    if repeats.any():
+        gap[:, repeats] = np.inf
+    code = gap.argmin(axis=1)
+    best = gap[np.arange(len(x)), code] + np.einsum("ij,ij->i", x, x)
+    return code, np.maximum(best, 0.0)
 
 
 def residual_codes(x: np.ndarray, levels: list[np.ndarray], repeats: list[np.ndarray]):
@@ -69,7 +76,7 @@ def residual_codes(x: np.ndarray, levels: list[np.ndarray], repeats: list[np.nda
     for level, (book, skip) in enumerate(zip(levels, repeats)):
         codes[:, level], _ = nearest(rest, book, skip)
         rest = rest - book[codes[:, level]]
-        errors[:, level] = (rest * rest).sum(axis=1)
+        errors[:, level] = np.einsum("ij,ij->i", rest, rest)
     return codes, rest, errors
 
 

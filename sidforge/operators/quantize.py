@@ -51,10 +51,15 @@ def _one_level(codebook: DataFrame, level: int) -> DataFrame:
     return codebook.where(F.col("level") == level).withColumn("level", F.lit(0))
 
 
-def _arrow_map(df: DataFrame, inputs: list[str], added: list[T.StructField], work) -> DataFrame:
-    """Append the columns ``work(batch)`` returns; only ``inputs`` travel to Python."""
+def _arrow_map(
+    df: DataFrame, inputs: list[str], added: list[T.StructField], work, keep: list[str] | None = None
+) -> DataFrame:
+    """Append the columns ``work(batch)`` returns to those in ``keep`` (default: all
+    ``inputs`` it does not replace). Only ``inputs`` travel to Python, only the
+    result travels back."""
     part = df.select(*inputs)
-    kept = [f for f in part.schema.fields if f.name not in {a.name for a in added}]
+    new = {a.name for a in added}
+    kept = [f for f in part.schema.fields if f.name not in new and (keep is None or f.name in keep)]
     schema = T.StructType(kept + added)
     names = [f.name for f in kept]
 
@@ -190,8 +195,8 @@ def assign_codes(
         return out
 
     inputs = keep if vec in keep else [*keep, vec]
-    wide = _arrow_map(df, inputs, codes + extra, work)
-    return wide.select(*keep, *[f.name for f in codes + extra])
+    coded = _arrow_map(df, inputs, codes + extra, work, keep)
+    return coded.select(*keep, *[f.name for f in codes + extra])
 
 
 def _assign_level_by_level(df, codebook, vec, keep, errors, residual, limit) -> DataFrame:
