@@ -12,6 +12,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,9 @@ def word_buckets(words: list[str], dim: int) -> np.ndarray:
     return np.array([int(h, 16) % dim for h in heads], dtype=np.int64)
 
 
-def word_counts(lists: pa.ListArray, dim: int) -> np.ndarray:
-    """Words per bucket of each row. A distinct word is hashed once per batch."""
+def word_counts(texts: pa.Array, dim: int) -> np.ndarray:
+    """Words per bucket of each text. A distinct word is hashed once per batch."""
+    lists = pc.split_pattern_regex(texts, WORD_BREAK)
     widths = np.diff(lists.offsets.to_numpy())
     row = np.repeat(np.arange(len(lists)), widths)
     coded = lists.flatten().dictionary_encode()
@@ -60,21 +62,17 @@ def embed_text(
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     added = [T.StructField("embedding", T.ArrayType(T.FloatType()))]
+    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     if factory is None:
-        words = F.split(F.coalesce(F.col(text), F.lit("")), WORD_BREAK).alias("_words")
 
         def count_words(piece):
-            matrix = word_counts(_column(piece, "_words"), dim)
+            matrix = word_counts(_column(piece, "_text"), dim)
             length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
             matrix /= np.where(length == 0, 1.0, length)
             return {"embedding": k.to_lists(matrix.astype(np.float32), pa.float32())}
 
-        split = df.select(*keep, words)
-        return _arrow_map(split, [*keep, "_words"], added, count_words, [*keep]).select(
-            *keep, "embedding"
-        )
+        return _arrow_map(source, [*keep, "_text"], added, count_words, keep)
 
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = T.StructType([source.schema[c] for c in keep] + added)
 
     def encode(tables):
