@@ -14,6 +14,8 @@ from sidforge.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# DuckDB twins of the queries that SQL can express.
+ORACLE: dict[str, str] = {}
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
