@@ -27,7 +27,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A null text goes, since it has no language.
     """
     held = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False))
-    prototypes = language.learn_prototypes(docs.where(~held).select("text", "lang"))
+    prototypes = language.learn_prototypes(docs.where(~held).select("doc_id", "text", "lang"))
     found = language.identify(docs, prototypes, docs.columns)
     known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE)
     return found.where(known).select(*docs.columns)

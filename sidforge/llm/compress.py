@@ -29,9 +29,9 @@ from sidforge.llm.common import python_texts, schema_of, text_groups
 
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 100_000
-DICTIONARY_BYTES = 1 << 16
-PIECE = 4096
-LEVEL = 3
+DICTIONARY_BYTES = 1 << 19
+PIECE = 2048
+LEVEL = 9
 CUTOFF = 0.3
 _SHARE = 256  # bytes that one text gives to a dictionary at a time
 
