@@ -42,6 +42,7 @@ HASHES = BANDS * ROWS
 SIGNATURE_BITS = 4
 MARGIN = 6.0
 BLOCK = 2048  # members of a bucket that one task compares with as many
+BLOCK_ITEMS = 4_000_000  # shingles of these members
 SMALL_IDS = 2_000_000  # ids that are broadcast, 8 bytes each
 
 _rng = np.random.Generator(np.random.PCG64(10))
@@ -132,8 +133,29 @@ def sketch(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def _similar(a, b) -> pa.Array:
-    rows = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, HASHES // 2) for x in (a, b)]
-    return pa.array(estimate(rows[0], rows[1]) >= least_estimate())
+    return pa.array(estimate(_signatures(a), _signatures(b)) >= least_estimate())
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES // 2)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``(id, items)``: the whole shingle sets of the documents in ``ids`` (doc_id)."""
+
+    def build(batches):
+        for part in text_groups(batches):
+            sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), width)]
+            numbers = part.column("doc_id").cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([numbers, pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
+
+    ids = materialize(ids.distinct(), "ids")
+    # Few ids travel to the texts; many meet them in a shuffle.
+    wanted = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+    chosen = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    sets = materialize(chosen.mapInArrow(build, "id bigint, items array<bigint>"), "sets")
+    discard(ids)
+    return sets
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -144,30 +166,19 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
             if batch.num_rows:
                 yield batch.select(["a", "b"]).filter(_similar(batch.column("sa"), batch.column("sb")))
 
-    def sets_of(batches):
-        for part in text_groups(batches):
-            sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), width)]
-            ids = part.column("doc_id").cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
-
-    spark = pairs.sparkSession
     signs = reps.select(F.col("doc_id").alias("id"), "signature")
     met = pairs.join(signs.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
     met = met.join(signs.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
     near = materialize(met.select("a", "b", "sa", "sb").mapInArrow(likely, "a bigint, b bigint"), "likely")
-    ids = materialize(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "ids")
-    # Few ids travel to the texts; many meet them in a shuffle.
-    wanted = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
-    chosen = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = materialize(chosen.mapInArrow(sets_of, "id bigint, items array<bigint>"), "sets")
+    sets = full_sets(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")), width)
     left = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
     shared = F.size(F.array_intersect("ia", "ib"))
     union = F.size("ia") + F.size("ib") - shared
     linked = materialize(both.where(100 * shared >= percent * union).select("a", "b").distinct(), "linked")
-    for used in (near, ids, sets):
-        discard(used)
-    release(spark)
+    discard(near)
+    discard(sets)
+    release(pairs.sparkSession)
     return linked
 
 
@@ -179,43 +190,97 @@ def _star_pairs(bands: DataFrame) -> DataFrame:
     return bands.join(buckets, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
-def _crossing_pairs(bands: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs between components that share a bucket, every one of them.
+def _likely_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and estimates of the likely pairs of different components in a task.
 
-    A bucket is cut into blocks of about BLOCK members, and each pair of blocks is a task.
+    A pair that shares several buckets counts in the first one only.
+    """
+    side, ids, roots = (table.column(c).to_numpy() for c in ("side", "id", "root"))
+    signs = _signatures(table.column("signature"))
+    bands = np.stack(table.column("bands").combine_chunks().to_numpy(zero_copy_only=False))
+    before = bands[:, : int(table.column("band")[0].as_py())]
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+    found = []
+    for i in left:
+        others = right[(roots[right] != roots[i]) & ((ids[right] > ids[i]) | (side[right] == 2))]
+        value = estimate(signs[i], signs[others])
+        near = value >= least_estimate()
+        others, value = others[near], value[near]
+        fresh = ~(before[others] == before[i]).any(axis=1)
+        found.append(np.stack([np.full(fresh.sum(), i), others[fresh], value[fresh]], axis=1))
+    rows = np.concatenate(found) if found else np.zeros((0, 3))
+    return rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64), rows[:, 2]
+
+
+def _crossing_links(
+    bands: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links between components that share a bucket; no likely pair goes unseen.
+
+    A bucket is cut into blocks of about BLOCK members, and each pair of blocks is a task. A
+    first run over signatures finds the members that need their full sets, a second one
+    confirms pairs on the sets and hands out a forest of links, so that what leaves a task
+    grows with its members and not with its pairs.
     """
 
-    def compare(key, batch):
-        batch = batch.combine_chunks()
-        side, ids, roots = (batch.column(c).to_numpy() for c in ("side", "id", "root"))
-        signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES // 2)
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
-        pairs = []
-        for i in left:
-            others = right[(roots[right] != roots[i]) & ((ids[right] > ids[i]) | (side[right] == 2))]
-            near = others[estimate(signs[i], signs[others]) >= least_estimate()]
-            pairs.append(np.stack([np.full(len(near), ids[i]), ids[near]], axis=1))
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+    def involved(table):
+        a, b, _ = _likely_pairs(table)
+        return table.select(["key", "i", "j", "side", "id", "root", "band"]).take(np.unique(np.concatenate([a, b])))
+
+    def link(table):
+        a, b, value = _likely_pairs(table)
+        ids = table.column("id").to_numpy()
+        items = table.column("items").combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def top(n: int) -> int:
+            while root.get(n, n) != n:
+                n = root[n]
+            return n
+
+        links = []
+        for k in np.argsort(-value, kind="stable"):
+            x, y = int(a[k]), int(b[k])
+            one, two = top(int(ids[x])), top(int(ids[y]))
+            if one == two:
+                continue
+            for n in (x, y):
+                if n not in sets:
+                    sets[n] = items[n].values.to_numpy()
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                root[max(one, two)] = min(one, two)
+                links.append(sorted((int(ids[x]), int(ids[y]))))
+        low, high = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
     rooted = bands.join(labels.select(F.col("node").alias("id"), "root"), "id", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = rooted.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("items")
+    )
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
+    mixed = mixed.where("lo < hi").select("key", blocks.alias("blocks"))
     members = rooted.join(mixed, "key")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", block)
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Side 0 meets side 2; a block that meets itself is side 1.
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    tasks = members.withColumn("other", other).select(
-        "key", "id", "root",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.expr("case when own < other then 0 when own = other then 1 else 2 end").alias("side"),
+    tasks = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.expr("case when own < other then 0 when own = other then 1 else 2 end").alias("side"), "id", "root", "band",
     )
-    signs = reps.select(F.col("doc_id").alias("id"), "signature")
-    grouped = tasks.join(signs, "id").groupBy("key", "i", "j")
-    found = grouped.applyInArrow(compare, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    signs = reps.select(F.col("doc_id").alias("id"), "signature", "bands")
+    kinds = "key bigint, i int, j int, side int, id bigint, root bigint, band int"
+    some = materialize(tasks.join(signs, "id").groupBy("key", "i", "j").applyInArrow(involved, kinds), "involved")
+    sets = full_sets(docs, some.select(F.col("id").alias("doc_id")), width)
+    # Of equal ids with several texts one set is enough: they are linked anyway.
+    sets_once = sets.groupBy("id").agg(F.max("items").alias("items"))
+    ready = some.join(signs, "id").join(sets_once, "id")
+    linked = materialize(ready.groupBy("key", "i", "j").applyInArrow(link, "a bigint, b bigint").distinct(), "crossing")
+    discard(some)
+    discard(sets)
+    release(docs.sparkSession)
+    return linked
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -227,8 +292,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     # The row whose sketch stands for the class.
     chosen = F.expr("u.set_key = c.set_key and u.doc_id = c.rep")
     reps = usable.alias("u").join(classes.alias("c"), chosen, "left_semi")
-    reps = materialize(reps.select("doc_id", "set_key", "signature", "bands"), "reps")
-    bands = materialize(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "bands")
+    reps = materialize(reps.select("doc_id", "set_key", "signature", "bands", "n_shingles").distinct(), "reps")
+    each = F.posexplode("bands").alias("band", "key")
+    bands = materialize(reps.select(F.col("doc_id").alias("id"), "n_shingles", each), "bands")
     release(spark)
     # Ids that occur with several sets, or in several classes, are one document.
     same = classes.select(F.col("set_key"), F.col("rep"))
@@ -239,7 +305,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     firm = materialize(confirm(_star_pairs(bands), reps, docs, width, percent).union(tied), "firm")
     labels = components(firm)
     release(spark)
-    more = confirm(_crossing_pairs(bands, reps, labels), reps, docs, width, percent)
+    more = _crossing_links(bands, reps, labels, docs, width, percent)
     labels = components(firm.union(more))
     rooted = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
     rooted = rooted.select("set_key", F.coalesce("root", "rep").alias("component"))
