@@ -1,16 +1,18 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
 A paragraph is a piece of a text that ends behind line ends or sentence marks, at most
-PIECE_CHARS code points long; the pieces of a text put together give the text. SHA-256 turns
-a piece into LANES bits, and a text's vector is the sum of its pieces' vectors. The order of
-pieces plays no part; adding or subtracting a piece's vector inserts or deletes it. The
-fingerprint writes the lanes and the number of pieces modulo 2^16, four hex digits each.
+PIECE_CHARS code points long; the pieces of a text put together give the text. Seeded 64-bit
+hashes turn a piece into LANES bits, and a text's vector is the sum of its pieces' vectors. The
+order of pieces plays no part; adding or subtracting a piece's vector inserts or deletes it.
+The fingerprint writes the number of pieces and the lanes modulo 2^16, four hex digits each
+(a zero half stands beside the number).
 
 Likeness is the cosine of two vectors after centring (a bit counts +1 or -1), cut to 0..1.
 Two empty texts have likeness 1, an empty and another 0.
 
-Everything is DataFrame functions; a text's vector is folded in place, without a shuffle. Sums
-are kept in 30-bit fields, two to a number; a text cannot have enough pieces to fill one.
+Everything is DataFrame functions. Pieces are summed in generated code, in the task that holds
+the text, so no piece is shuffled. Two 32-bit sums share a number; a text cannot have enough
+pieces to fill one.
 
 Documents follow each other by id (null first), then by MD5 of the text. Repeated rows (same
 id and text) are one document there and each get its result. A null text counts as empty.
@@ -21,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sidforge.llm.common import release
 from sidforge.operators.identity import with_idx
-from sidforge.session import materialize
+from sidforge.session import discard, materialize
 
 PIECE_CHARS = 160
-WORDS = 4  # of 60 bits from each digest
-BITS = 60
-LANES = WORDS * BITS
-FIELD = 30
+SEEDS = 2  # more sums would not fit into compiled code
+FIELD = 32
+LANES = SEEDS * 64
 MODULUS = 1 << 16
 _PATTERN = rf"[^\n.!?]{{1,{PIECE_CHARS}}}[\n.!?]*|[\n.!?]+"
 _PAIR = (1 << FIELD) + 1  # the lowest bit of both fields
@@ -38,31 +40,22 @@ def paragraphs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))
 
 
-def _digest_words(digests: Column, word: int) -> Column:
-    start = word * BITS // 4 + 1
-    return F.transform(digests, lambda d: F.conv(F.substring(d, start, BITS // 4), 16, 10).cast("bigint"))
+def sum_pieces(pieces: DataFrame, keys: list[str], piece: str, vector: str) -> DataFrame:
+    """One row per ``keys`` with the vector of its pieces: their number, then LANES / 2 sums.
 
-
-def add_vector(rows: DataFrame, text: str, vector: str) -> DataFrame:
-    """Add the vector of the column ``text``: the number of pieces, then LANES / 2 packed
-    sums. Bit j of word w and bit j + FIELD share a number."""
-    rows = rows.withColumn("_digests", F.transform(paragraphs(F.col(text)), lambda p: F.sha2(p, 256)))
-    for w in range(WORDS):
-        rows = rows.withColumn(f"_w{w}", _digest_words(F.col("_digests"), w))
-
-    def sums(w: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(FIELD - 1)),
-            lambda j: F.aggregate(
-                F.col(f"_w{w}"),
-                F.lit(0).cast("bigint"),
-                lambda total, v: total + F.call_function("shiftright", v, j).bitwiseAND(F.lit(_PAIR)),
-            ),
-        )
-
-    count = F.array(F.size("_digests").cast("bigint"))
-    whole = F.concat(count, *(sums(w) for w in range(WORDS)))
-    return rows.withColumn(vector, whole).drop("_digests", *(f"_w{w}" for w in range(WORDS)))
+    Null pieces count as none. Bit j of a seed's hash and bit j + FIELD share a sum.
+    """
+    hashed = pieces.select(
+        *keys, piece, *(F.when(F.col(piece).isNotNull(), F.xxhash64(F.lit(s), piece)).alias(f"_h{s}") for s in range(SEEDS))
+    )
+    sums = [
+        F.coalesce(F.sum(F.shiftright(f"_h{s}", j).bitwiseAND(F.lit(_PAIR))), F.lit(0)).alias(f"_s{s}_{j}")
+        for s in range(SEEDS)
+        for j in range(FIELD)
+    ]
+    summed = hashed.groupBy(*keys).agg(F.count(piece).alias("_n"), *sums)
+    lanes = [f"_s{s}_{j}" for s in range(SEEDS) for j in range(FIELD)]
+    return summed.select(*keys, F.array("_n", *lanes).alias(vector))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -101,15 +94,9 @@ def likeness(a: Column, b: Column) -> Column:
     dot = total(F.zip_with(a, b, lambda x, y: product(x, n, y, m)))
     one = total(F.transform(a, lambda x: product(x, n, x, n)))
     two = total(F.transform(b, lambda y: product(y, m, y, m)))
-    cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / F.sqrt(one * two)))
-    return F.when((n == 0) | (m == 0), ((n == 0) & (m == 0)).cast("double")).when(a == b, F.lit(1.0)).otherwise(
-        F.when((one == 0) | (two == 0), F.lit(0.0)).otherwise(cosine)
-    )
-
-
-def _pair(left: str, right: str) -> Column:
-    """Null-safe equality of document keys."""
-    return F.expr(f"{left}.doc_id <=> {right}.doc_id and {left}.tie = {right}.tie")
+    cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / F.sqrt(F.greatest(one * two, F.lit(1e-300)))))
+    empty = (n == 0) | (m == 0)
+    return F.when(empty, ((n == 0) & (m == 0)).cast("double")).when(a == b, F.lit(1.0)).otherwise(cosine)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -119,43 +106,56 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text of a document has its last floor(n_chars / 2) code points replaced by
     as many first ones (or all) of the next document; the first follows the last.
 
-    Only ids are sorted. Texts are shuffled once by their own id; of the next text just the
-    part that is needed travels.
+    Only ids are sorted. Texts are shuffled once by their own document; of the next text just
+    the part that is needed travels.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("tie", F.md5("text"))
-    order = keyed.select("doc_id", "tie", F.length("text").alias("n")).distinct()
-    order = with_idx(order, ["doc_id", "tie"], "place")
-    order = materialize(order, "order")
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))
+    keyed = docs.select(name.alias("key"), "doc_id", text.alias("text"))
+    order = keyed.groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n"), F.count("*").alias("times")
+    )
+    order = materialize(with_idx(order, ["doc_id", "key"], "place"), "order")
     count = order.count()
     following = order.select(
-        F.col("doc_id").alias("next_id"),
-        F.col("tie").alias("next_tie"),
-        ((F.col("place") + count - 1) % max(count, 1)).alias("place"),
-    )
-    pairs = order.join(following, "place").select(
-        F.struct("doc_id", "tie").alias("own"), F.expr("cast(n div 2 as int)").alias("half"),
-        F.col("next_id").alias("doc_id"), F.col("next_tie").alias("tie"),
+        F.col("key").alias("next_key"), ((F.col("place") + count - 1) % max(count, 1)).alias("place")
     )
-    hashed = add_vector(keyed, "text", "vector")
-    # One row per document and the part of its text that the one before it takes.
-    heads = hashed.alias("h").join(pairs.alias("p"), _pair("h", "p"))
-    heads = heads.select(
-        "p.own.*", F.expr("substring(h.text, 1, p.half)").alias("head"), F.col("h.vector").alias("next_vector")
-    )
-    heads = heads.groupBy("doc_id", "tie").agg(F.min(F.struct("head", "next_vector")).alias("next"))
-    met = hashed.alias("a").join(heads.alias("b"), _pair("a", "b"))
-    n = F.length("a.text")
-    kept = F.expr("substring(a.text, 1, length(a.text) - cast(length(a.text) div 2 as int))")
-    rows = met.select(
-        "a.doc_id", n.cast("bigint").alias("n_chars"), "a.vector", F.col("b.next.next_vector").alias("next_vector"),
-        F.concat(kept, F.col("b.next.head")).alias("edited"),
+    pairs = order.join(following, "place").select("key", "times", F.expr("cast(n div 2 as int)").alias("half"), "next_key")
+    pairs = materialize(pairs, "pairs")
+    heads = keyed.select(F.col("key").alias("next_key"), "text").join(pairs, "next_key")
+    # Repeated rows of the next document give the same head.
+    heads = heads.groupBy("key").agg(F.min(F.expr("substring(text, 1, half)")).alias("head"))
+    heads = materialize(heads, "heads")
+    release(docs.sparkSession)
+    kept = F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))")
+    met = keyed.join(heads, "key").withColumn("edited", F.concat(kept, "head"))
+    none = F.array(F.lit(None).cast("string"))  # keeps texts without pieces
+
+    def tagged(column: str, edited: bool) -> Column:
+        return F.transform(F.concat(none, paragraphs(F.col(column))), lambda p: F.struct(F.lit(edited).alias("e"), p.alias("p")))
+
+    each = met.select(
+        "key", "doc_id", F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.explode(F.concat(tagged("text", False), tagged("edited", True))).alias("x"),
     )
-    rows = add_vector(rows, "edited", "edited_vector")
-    return rows.select(
+    keys = ["key", "doc_id", "n_chars", "edited_sha256", "is_edited"]
+    flat = each.select(*keys[:-1], F.col("x.e").alias("is_edited"), F.col("x.p").alias("piece"))
+    vectors = materialize(sum_pieces(flat, keys, "piece", "vector"), "vectors")
+    discard(heads)
+    release(docs.sparkSession)
+    # Repeated rows were summed together.
+    times = pairs.select("key", "times", "next_key")
+    one = vectors.join(times, "key").withColumn("vector", F.expr("transform(vector, v -> v div times)"))
+    own = one.where("not is_edited").drop("is_edited")
+    edited = one.where("is_edited").select("key", F.col("vector").alias("edited_vector"))
+    after = own.select(F.col("key").alias("next_key"), F.col("vector").alias("next_vector"))
+    rows = own.join(edited, "key").join(after, "next_key")
+    copies = F.explode(F.expr("sequence(1, cast(times as int))"))
+    return rows.withColumn("_copy", copies).select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "edited_sha256",
         fingerprint(F.col("vector")).alias("fingerprint"),
         fingerprint(F.col("edited_vector")).alias("edited_fingerprint"),
         likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),

@@ -70,10 +70,13 @@ def test_fingerprint_is_a_sum_over_pieces(spark):
 
     data = [("One. Two!\nThree? ", "Three? One. Two!\n", "Two!\n")]
     df = spark.createDataFrame(data, "a string, b string, c string")
-    for c in "abc":
-        df = fingerprint.add_vector(df, c, f"v{c}")
     pieces = df.select(fingerprint.paragraphs(F.col("a"))).first()[0]
     assert "".join(pieces) == data[0][0]
+    vector = {}
+    for c in "abc":
+        each = df.select(F.lit(1).alias("k"), F.explode(fingerprint.paragraphs(F.col(c))).alias("p"))
+        vector[c] = fingerprint.sum_pieces(each, ["k"], "p", f"v{c}")
+    df = vector["a"].join(vector["c"], "k")
     less = fingerprint.combine(F.col("va"), F.col("vc"), -1)
     r = df.select(
         (F.col("va")[0] == 4).alias("n"),
@@ -81,6 +84,9 @@ def test_fingerprint_is_a_sum_over_pieces(spark):
         fingerprint.likeness(F.col("va"), F.col("va")).alias("one"),
     ).first()
     assert r.n and r.back and r.one == 1.0
+    turned = spark.createDataFrame([(1, p) for p in reversed(pieces)], "k int, p string")
+    again = fingerprint.sum_pieces(turned, ["k"], "p", "v").select(fingerprint.fingerprint(F.col("v"))).first()[0]
+    assert again == vector["a"].select(fingerprint.fingerprint(F.col("va"))).first()[0]
 
 
 def test_op3(spark, sf_dir, texts):
