@@ -120,37 +120,32 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     following = order.select(
         F.col("key").alias("next_key"), ((F.col("place") + count - 1) % max(count, 1)).alias("place")
     )
-    pairs = order.join(following, "place").select("key", "times", F.expr("cast(n div 2 as int)").alias("half"), "next_key")
+    pairs = order.join(following, "place").select(
+        "key", "doc_id", F.col("n").cast("bigint").alias("n_chars"), "times", F.expr("cast(n div 2 as int)").alias("half"), "next_key"
+    )
     pairs = materialize(pairs, "pairs")
     heads = keyed.select(F.col("key").alias("next_key"), "text").join(pairs, "next_key")
     # Repeated rows of the next document give the same head.
     heads = heads.groupBy("key").agg(F.min(F.expr("substring(text, 1, half)")).alias("head"))
     heads = materialize(heads, "heads")
     release(docs.sparkSession)
-    kept = F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))")
-    met = keyed.join(heads, "key").withColumn("edited", F.concat(kept, "head"))
-    none = F.array(F.lit(None).cast("string"))  # keeps texts without pieces
 
-    def tagged(column: str, edited: bool) -> Column:
-        return F.transform(F.concat(none, paragraphs(F.col(column))), lambda p: F.struct(F.lit(edited).alias("e"), p.alias("p")))
+    def vectors(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+        each = rows.select(*keys, F.explode_outer(paragraphs(F.col(column))).alias("piece"))
+        summed = sum_pieces(each, keys, "piece", "sums").join(pairs.select("key", "times"), "key")
+        # Repeated rows are summed together.
+        return materialize(summed.select(*keys, F.expr("transform(sums, v -> v div times)").alias("vector")), "vectors")
 
-    each = met.select(
-        "key", "doc_id", F.length("text").cast("bigint").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.explode(F.concat(tagged("text", False), tagged("edited", True))).alias("x"),
-    )
-    keys = ["key", "doc_id", "n_chars", "edited_sha256", "is_edited"]
-    flat = each.select(*keys[:-1], F.col("x.e").alias("is_edited"), F.col("x.p").alias("piece"))
-    vectors = materialize(sum_pieces(flat, keys, "piece", "vector"), "vectors")
+    kept = F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))")
+    met = keyed.join(heads, "key").select("key", F.concat(kept, "head").alias("edited"))
+    met = met.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    edited = vectors(met, ["key", "edited_sha256"], "edited").withColumnRenamed("vector", "edited_vector")
     discard(heads)
     release(docs.sparkSession)
-    # Repeated rows were summed together.
-    times = pairs.select("key", "times", "next_key")
-    one = vectors.join(times, "key").withColumn("vector", F.expr("transform(vector, v -> v div times)"))
-    own = one.where("not is_edited").drop("is_edited")
-    edited = one.where("is_edited").select("key", F.col("vector").alias("edited_vector"))
+    own = vectors(keyed, ["key"], "text")
+    release(docs.sparkSession)
     after = own.select(F.col("key").alias("next_key"), F.col("vector").alias("next_vector"))
-    rows = own.join(edited, "key").join(after, "next_key")
+    rows = own.join(edited, "key").join(pairs.drop("half"), "key").join(after, "next_key")
     copies = F.explode(F.expr("sequence(1, cast(times as int))"))
     return rows.withColumn("_copy", copies).select(
         "doc_id",
