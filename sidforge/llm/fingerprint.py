@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sidforge.llm.common import release
 from sidforge.operators.identity import with_idx
-from sidforge.session import discard, materialize
+from sidforge.session import materialize
 
 PIECE_CHARS = 160
 SEEDS = 2  # more sums would not fit into compiled code
@@ -127,8 +127,6 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     heads = keyed.select(F.col("key").alias("next_key"), "text").join(pairs, "next_key")
     # Repeated rows of the next document give the same head.
     heads = heads.groupBy("key").agg(F.min(F.expr("substring(text, 1, half)")).alias("head"))
-    heads = materialize(heads, "heads")
-    release(docs.sparkSession)
 
     def vectors(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
         each = rows.select(*keys, F.explode_outer(paragraphs(F.col(column))).alias("piece"))
@@ -137,10 +135,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         return materialize(summed.select(*keys, F.expr("transform(sums, v -> v div times)").alias("vector")), "vectors")
 
     kept = F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))")
-    met = keyed.join(heads, "key").select("key", F.concat(kept, "head").alias("edited"))
+    # Both joins read one shuffle of the texts.
+    met = keyed.select("key", "text").join(heads, "key").select("key", F.concat(kept, "head").alias("edited"))
     met = met.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     edited = vectors(met, ["key", "edited_sha256"], "edited").withColumnRenamed("vector", "edited_vector")
-    discard(heads)
     release(docs.sparkSession)
     own = vectors(keyed, ["key"], "text")
     release(docs.sparkSession)
