@@ -78,7 +78,7 @@ def fit_codebook(
 def fit_rq(
     df: DataFrame,
     num_emb_list: list[int],
-    sample_n: int = 100_000,
+    sample_n: int = 0,
     layers: DataFrame | None = None,
     activation: str | None = "relu",
     iters: int = 100,
@@ -89,8 +89,8 @@ def fit_rq(
 ) -> DataFrame:
     """Codebooks of all levels, fitted one after the other.
 
-    A block sample is projected (if layers are given); each level clusters what
-    the levels before it left over. ``sample_n = 0`` uses every row.
+    The rows are projected (if layers are given); each level clusters what the
+    levels before it left over. ``sample_n`` asks for a block sample instead of all rows.
     """
     sample = df.select(idx, vec)
     if sample_n:

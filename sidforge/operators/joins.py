@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sidforge.functions.text import stringified_sql
@@ -28,14 +29,26 @@ def join_audit(items: DataFrame, index: DataFrame, idx: str = "idx") -> DataFram
 
 
 def join_index(
-    items: DataFrame, index: DataFrame, idx: str = "idx", check: bool = False
+    items: DataFrame, index: DataFrame, idx: str = "idx", check: bool = True
 ) -> DataFrame:
-    """Items beside their codes. ``check`` raises if any row lacks a partner."""
-    if check:
-        stray = join_audit(items, index, idx).groupBy("side").count().collect()
-        if stray:
-            raise ValueError(f"unmatched rows: { {r.side: r['count'] for r in stray} }")
-    return items.join(index, idx)
+    """Items beside their codes, one row for each row number.
+
+    The job stops if a row lacks its partner or a row number repeats; both are seen in the
+    shuffle of the join itself. ``check=False`` keeps just the rows that meet.
+    """
+    if not check:
+        return items.join(index, idx)
+    left, right = items.withColumn("_item", F.lit(True)), index.withColumn("_index", F.lit(True))
+    met = left.join(right, idx, "full_outer")
+    met = met.withColumn("_rows", F.count("*").over(W.partitionBy(idx)))
+    wrong = (
+        F.when(F.col("_index").isNull(), F.lit("unmatched row of items"))
+        .when(F.col("_item").isNull(), F.lit("unmatched row of index"))
+        .when(F.col("_rows") > 1, F.lit("repeated row number"))
+    )
+    stop = F.raise_error(F.concat(wrong, F.lit(": "), F.coalesce(F.col(idx).cast("string"), F.lit("null"))))
+    fine = F.when(wrong.isNotNull(), stop.cast("boolean")).otherwise(F.lit(True))
+    return met.where(fine).drop("_item", "_index", "_rows")
 
 
 def with_geo_sid(df: DataFrame, code_cols: list[str] | None = None) -> DataFrame:

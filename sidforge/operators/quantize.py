@@ -227,20 +227,26 @@ def _assign_level_by_level(df, codebook, vec, keep, errors, residual, limit) ->
 
 
 def decode(df: DataFrame, codebook: DataFrame, out: str = "reconstruction") -> DataFrame:
-    """Add the sum of the codewords named by the code columns.
+    """Add the sum of the codewords named by the code columns, null for a null code.
 
-    One lookup per level; the codebook side is broadcast while it is small.
+    One lookup per level; the codebook side is broadcast while it is small. A code outside the
+    codebook stops the job.
     """
     small = codebook_bytes(codebook) <= BROADCAST_BYTES
     columns = df.columns
-    levels = [c for c in columns if c.startswith("code_")]
+    # The codebook names the levels: further code columns, such as a rank, have no codewords.
+    levels = [r.level for r in codebook.select("level").distinct().sort("level").collect()]
     current = df
-    for level, name in enumerate(levels):
+    for level in levels:
+        name = f"code_{level}"
         words = codebook.where(F.col("level") == level).select(
             F.col("code").alias(name), F.col("centroid").alias(f"_word_{level}")
         )
-        current = current.join(F.broadcast(words) if small else words, name)
-    total = add([f"_word_{level}" for level in range(len(levels))])
+        current = current.join(F.broadcast(words) if small else words, name, "left")
+        unknown = F.raise_error(F.concat(F.lit(f"{name} outside the codebook: "), F.col(name).cast("string")))
+        word = F.coalesce(f"_word_{level}", F.when(F.col(name).isNotNull(), unknown.cast("array<double>")))
+        current = current.withColumn(f"_word_{level}", word)
+    total = add([f"_word_{level}" for level in levels])
     return current.select(*columns, total.alias(out))
 
 

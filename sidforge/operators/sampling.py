@@ -155,7 +155,10 @@ def block_sample_files(
     first = np.array([r["_block"] for r in picks.collect()], dtype=np.int64) * block_rows
     starts = np.array([r[0] for r in files], dtype=np.int64)
     low = np.searchsorted(starts, first, side="right") - 1
-    high = np.searchsorted(starts, np.minimum(first + block_rows, rows) - 1, side="right") - 1
+    # The last block is cut to the rows that are still wanted.
+    end = first + block_rows
+    end[first.argmax()] -= len(first) * block_rows - n if len(first) * block_rows > n else 0
+    high = np.searchsorted(starts, np.minimum(end, rows) - 1, side="right") - 1
     needed = sorted({files[f][2] for a, b in zip(low, high) for f in range(a, b + 1)})
     numbered = with_file_idx(df, idx, only=needed)
     return _rows_of_blocks(numbered, picks, n, block_rows, idx)

@@ -306,7 +306,7 @@ def contiguous_idx(spark, sf_dir):
 
 @query
 def join_index_items(spark, sf_dir):
-    joined = joins.join_index(views.items(spark, sf_dir), index_table(spark, sf_dir), check=True)
+    joined = joins.join_index(views.items(spark, sf_dir), index_table(spark, sf_dir))
     return joined.select("idx", "item_id", "title", "code_0", "code_1", "code_2", "code_3")
 
 
@@ -328,7 +328,7 @@ def lookup_mem(spark, sf_dir):
 def output_projection(spark, sf_dir):
     fields = ["idx", *item_source.ITEM_FIELDS]
     table = item_source.select_fields(views.items(spark, sf_dir), fields)
-    joined = joins.with_geo_sid(joins.join_index(table, index_table(spark, sf_dir)))
+    joined = joins.with_geo_sid(joins.join_index(table, index_table(spark, sf_dir), check=False))
     filled = joins.finalize(joined, ["geo_sid"], True, ["idx"])
     raw = joins.finalize(joined.drop("shop_id"), ["geo_sid"], False, ["idx"])
     return filled.withColumn("mode", F.lit("filled")).unionByName(
@@ -413,7 +413,7 @@ def fit_codebook(spark, sf_dir):
 @query
 def fit_residual_quantizer(spark, sf_dir):
     table = views.item_vectors(spark, sf_dir)
-    book = fit.fit_rq(table, [16, 16, 16], 100_000, iters=20)
+    book = fit.fit_rq(table, [16, 16, 16], iters=20)
     return quantize.quant_loss(table, book)
 
 
@@ -529,7 +529,7 @@ def exclusive_items(spark, sf_dir):
 
 def _geo_codes(spark, sf_dir) -> DataFrame:
     places = with_geohash(views.items(spark, sf_dir), precision=3).select("idx", "geohash")
-    return joins.join_index(places, int_codes(spark, sf_dir))
+    return joins.join_index(places, int_codes(spark, sf_dir), check=False)
 
 
 def _rounded_rates(df: DataFrame) -> DataFrame:

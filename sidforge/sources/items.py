@@ -31,6 +31,8 @@ def scan_items(spark: SparkSession, root: str, table: str, dt: str, country: str
     try:
         files = spark.read.option("pathGlobFilter", DATA_FILES).parquet(folder)
     except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise FileNotFoundError(f"no {DATA_FILES} files in {folder}") from problem
     return files.withColumns({"dt": F.lit(dt), "country_code": F.lit(country)})
 

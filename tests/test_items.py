@@ -147,9 +147,14 @@ def test_with_idx_spreads_equal_keys(spark):
 def test_join_check_names_the_strays(spark):
     left, right = spark.range(5).toDF("idx"), spark.range(1, 6).toDF("idx")
     assert sorted(map(tuple, joins.join_audit(left, right).collect())) == [(0, "items"), (5, "index")]
-    with pytest.raises(ValueError, match="unmatched"):
-        joins.join_index(left, right, check=True)
-    assert joins.join_index(left, left, check=True).count() == 5
+    with pytest.raises(Exception, match="unmatched row of items: 0"):
+        joins.join_index(left.where("idx < 3"), right.where("idx < 3")).collect()
+    with pytest.raises(Exception, match="unmatched row of index: 5"):
+        joins.join_index(left.where("idx > 0"), right).collect()
+    with pytest.raises(Exception, match="repeated row number: 2"):
+        joins.join_index(left, left.union(left.where("idx = 2"))).collect()
+    assert joins.join_index(left, left).count() == 5
+    assert joins.join_index(left, right, check=False).count() == 4
 
 
 def test_finalize_modes(spark):

@@ -190,3 +190,13 @@ def test_reloaded_model_gives_the_same_codes(spark, folder):
         assert (sorted_codes(again.assign(df)) == sorted_codes(model.assign(df))).all()
     shifted = by_hand(x + 0.25, books)[0]
     assert (sorted_codes(models.load_model(spark, f"{folder}/projected").assign(df)) == shifted).all()
+
+
+def test_decode_loses_no_row(spark):
+    book = fit.codebook_table(spark, [[[1.0, 0.0], [0.0, 1.0]], [[0.5, 0.5]]])
+    rows = [(1, 0, 0, 7), (2, 1, 0, 3), (3, None, 0, 0)]
+    ranked = spark.createDataFrame(rows, "idx bigint, code_0 int, code_1 int, code_2 int")
+    found = {r.idx: r.reconstruction for r in quantize.decode(ranked, book).collect()}
+    assert found == {1: [1.5, 0.5], 2: [0.5, 1.5], 3: None}
+    with pytest.raises(Exception, match="code_0 outside the codebook: 5"):
+        quantize.decode(spark.createDataFrame([(1, 5, 0)], "idx bigint, code_0 int, code_1 int"), book).collect()

@@ -46,9 +46,13 @@ def test_block_sample(spark, rows, n):
 
 
 def test_block_sample_opens_only_the_files_it_needs(spark, folder, monkeypatch):
-    spark.range(100_000).selectExpr("id as value").repartitionByRange(40, "value").sortWithinPartitions(
-        "value"
-    ).write.parquet(f"{folder}/rows")
+    # Fixed borders. The last block picked is cut at row 77,549, and a file starts behind it.
+    borders = [*range(0, 77_501, 2_500), 77_550, *range(80_000, 100_001, 2_500)]
+    for n, (a, b) in enumerate(zip(borders, borders[1:])):
+        part = spark.range(a, b, 1, 1).selectExpr("id as value")
+        part.write.mode("append").parquet(f"{folder}/parts/{n:03d}")
+        Path(f"{folder}/rows").mkdir(exist_ok=True)
+        next(Path(f"{folder}/parts/{n:03d}").glob("part-*")).rename(f"{folder}/rows/part-{n:05d}.parquet")
     read = lambda: spark.read.parquet(f"{folder}/rows")
     assert sampling.block_sample_files(read(), 10**6).count() == 100_000
     monkeypatch.setattr(sampling, "PRUNED_BLOCKS", 1)
