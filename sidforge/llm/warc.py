@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 SEGMENT_BYTES = 64 << 10  # of one record's block
 CHUNK_BYTES = 8 << 10  # of one transfer chunk
 FILE_RECORDS = 2000  # pages of one archive file
+BATCH_BYTES = 4 << 20  # of blocks that a reader hands on at a time
 LEAST_REVISIT = 1000  # shorter payloads are stored every time
 _END = b"\r\n"
 _PAGE = "urn:page:"
@@ -181,6 +182,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     continuation records."""
 
     def parse(batches):
+        rows, size = [], 0
         for batch in batches:
             for content in batch.column("content"):
                 for fields, block in parse_archive(gzip.decompress(content.as_py())):
@@ -196,7 +198,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         "total_length": int(total) if total else None,
                         "block": block,
                     }
-                    yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+                    rows.append(row)
+                    size += len(block)
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(parse, RECORD)
