@@ -10,8 +10,9 @@ characters with the smallest hash. Half of them fill the dictionaries, the other
 the curve. Scoring reads every text to its end.
 
 A null text counts as empty; the empty text has difference 0 and gets the curve's value
-there. Without texts of both classes every score is the share of good labels (0.5 without
-any). Labels other than 0 and 1, null included, teach nothing.
+there. Without two texts of either class every score is the share of good labels (0.5
+without any). Labels other than 0 and 1, null included, teach nothing, and neither do rows
+without id; repeated rows teach once.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidforge.llm.common import python_texts, schema_of, text_groups
+from sidforge.session import discard, materialize
 
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 100_000
@@ -94,14 +96,34 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(weights[0]), float(weights[1])
 
 
-def learn(labelled: DataFrame) -> Model:
-    """Fit on ``labelled`` (doc_id, text, quality), at most SAMPLE_ROWS rows per class."""
-    fitting = labelled.where(f"length(text) between 1 and {SAMPLE_CHARS}")
-    order = F.xxhash64(F.lit(20240501), "doc_id"), F.xxhash64("text")
-    drawn = {}
-    for quality in (0, 1):
-        rows = fitting.where(F.col("quality") == quality).select("text", *(c.alias(f"k{i}") for i, c in enumerate(order)))
-        drawn[quality] = [r["text"].encode() for r in rows.sort("k0", "k1").limit(SAMPLE_ROWS).collect()]
+def draw(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]]:
+    """The sampled texts of each class, in the order of their hashes.
+
+    Texts stay in their tasks until the sample is known: only ids and hashes are joined with
+    the labels, and the ids drawn, at most SAMPLE_ROWS per class, are broadcast to the texts.
+    """
+    key = F.xxhash64(F.lit(20240501), "doc_id", "text").alias("k")
+    fitting = docs.where(f"length(text) between 1 and {SAMPLE_CHARS}").select("doc_id", key, "text")
+    marked = labels.where("quality in (0, 1)").select("doc_id", "quality").distinct()
+    pairs = materialize(fitting.select("doc_id", "k").distinct().join(marked, "doc_id"), "labelled")
+    chosen = pairs.limit(0)
+    for quality, count in pairs.groupBy("quality").count().collect():
+        # Twice the rows that are wanted lie below this hash, so few leave each task.
+        share = min(1.0, 2 * SAMPLE_ROWS / count)
+        below = min(int((share - 0.5) * 2**64), 2**63 - 1)
+        one = pairs.where((F.col("quality") == quality) & (F.col("k") <= below))
+        chosen = chosen.unionByName(one.sort("k", "doc_id").limit(SAMPLE_ROWS))
+    found = fitting.join(F.broadcast(chosen), ["doc_id", "k"])
+    # Repeated rows teach once.
+    once = found.groupBy("quality", "k", "doc_id").agg(F.min("text").alias("text"))
+    rows = sorted(once.collect(), key=lambda r: (r["k"], r["doc_id"]))
+    discard(pairs)
+    return {q: [r["text"].encode() for r in rows if r["quality"] == q] for q in (0, 1)}
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, quality)."""
+    drawn = draw(docs, labels)
     if not (len(drawn[0]) > 1 and len(drawn[1]) > 1):
         count = len(drawn[0]) + len(drawn[1])
         share = np.clip(len(drawn[1]) / count if count else 0.5, 0.01, 0.99)

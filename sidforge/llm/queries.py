@@ -69,7 +69,7 @@ def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held)
-    model = compress.learn(docs.where(~held).join(labels, "doc_id"))
+    model = compress.learn(docs.where(~held), labels)
     rated = compress.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
     return rated.withColumn("predicted", (F.col("score") >= compress.CUTOFF).cast("int"))
 

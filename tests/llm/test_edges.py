@@ -44,7 +44,7 @@ def operators(spark):
         "repeats": lambda d: repeats.remove_repeats(d, ["doc_id"]),
         "bpe": lambda d: bpe.round_trip(d, ranks, pattern, ["doc_id"]),
         "decode": lambda d: bpe.decode(bpe.encode(d, ranks, pattern, ["doc_id"]), ranks, ["doc_id"]),
-        "quality": lambda d: compress.score(d, compress.learn(d.withColumn("quality", F.expr("cast(doc_id % 2 as int)"))), ["doc_id"]),
+        "quality": lambda d: compress.score(d, compress.learn(d, d.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")), ["doc_id"]),
         "mixing": lambda d: mixing.mix(d.select(*sized)),
         "language": lambda d: language.identify(d, language.learn_prototypes(d), ["doc_id"]),
         "secrets": lambda d: secrets.span_columns(secrets.scan(d, ["doc_id"]), ["doc_id"]),
