@@ -15,6 +15,15 @@ def sanitize(vec: str) -> Column:
     return F.expr(f"transform({vec}, x -> if({_BROKEN} or {_INFINITE}, float(0), x))")
 
 
+def checked(vec: str, dim: int) -> Column:
+    """The vector, sanitized; a row that is null or of another width stops the job."""
+    width = F.coalesce(F.size(vec), F.lit(-1))
+    problem = F.concat(F.lit(f"expected {dim} elements, found "), width.cast("string"))
+    return F.when(width == dim, sanitize(vec)).otherwise(
+        F.raise_error(problem).cast("array<float>")
+    )
+
+
 def nan_count(vec: str) -> Column:
     return F.expr(f"size(filter({vec}, x -> {_BROKEN}))")
 

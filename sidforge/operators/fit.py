@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sidforge.functions.vectors import sanitize
 from sidforge.operators.project import mlp_project
 from sidforge.operators.quantize import assign_codes
 from sidforge.operators.sampling import block_sample
 from sidforge.session import materialize
+from sidforge.sources.vectors import valid_shape
 
 CODEBOOK_SCHEMA = "level int, code int, centroid array<double>"
 
@@ -57,12 +59,13 @@ def fit_codebook(
 ) -> DataFrame:
     """k-means centres of the vectors, the cheapest of several seeded runs.
 
-    Fewer than ``k`` rows is an error. Spark returns fewer centres than asked
+    Fewer than ``k`` rows is an error, as are null and ragged vectors; NaN and
+    infinite elements become 0. Spark returns fewer centres than asked
     when rows repeat; the missing codes then repeat the centres in order, which
     changes no assignment because the lowest code wins a tie.
     """
-    table = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-    rows = table.count()
+    rows = valid_shape(df, vec).n
+    table = df.select(array_to_vector(sanitize(vec).cast("array<double>")).alias("features"))
     if rows < k:
         raise ValueError(f"{rows} samples cannot fill {k} codes")
     best = None
@@ -99,7 +102,7 @@ def fit_rq(
         sample = mlp_project(sample, layers, activation, vec, "_latent").select(
             idx, F.col("_latent").alias(vec)
         )
-    rest = materialize(sample.select(idx, F.col(vec).cast("array<double>").alias(vec)), "rest")
+    rest = materialize(sample.select(idx, sanitize(vec).cast("array<double>").alias(vec)), "rest")
     books = None
     for level, k in enumerate(num_emb_list):
         book = fit_codebook(rest, k, iters, restarts, seed, vec, level)

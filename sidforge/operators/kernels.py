@@ -27,6 +27,16 @@ def to_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(rows, widths[0]).astype(np.float64)
 
 
+def clean_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as a matrix: NaN, infinite and null elements become 0, as in
+    ``functions.vectors.sanitize``. A null vector or another width stops the job."""
+    x = to_matrix(column)
+    if width is not None and len(x) and x.shape[1] != width:
+        raise ValueError(f"expected {width} elements, found {x.shape[1]}")
+    x[~np.isfinite(x)] = 0.0
+    return x
+
+
 def to_lists(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An (n, width) matrix as a list column."""
     rows, width = matrix.shape

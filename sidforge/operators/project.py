@@ -16,18 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sidforge.operators import kernels as k
-from sidforge.operators.quantize import BROADCAST_BYTES, _arrow_map, _column, _double_list
+from sidforge.operators import quantize
+from sidforge.operators.quantize import _arrow_map, _column, _double_list
+from sidforge.session import materialize
 
 LAYER_SCHEMA = "layer int, unit int, weights array<double>, bias double"
 # Added to the variance in batch normalisation.
 NORM_EPS = 1e-5
 
 
-def fetch_layers(layers: DataFrame, limit: int = BROADCAST_BYTES) -> list[tuple]:
-    """``(weights, bias)`` per layer; refuses tables above ``limit`` bytes."""
+def fetch_layers(layers: DataFrame, limit: int | None = None) -> list[tuple] | None:
+    """``(weights, bias)`` per layer, or ``None`` if they exceed ``limit`` bytes."""
     size = layers.agg(F.sum(F.size("weights") * F.lit(8))).first()[0] or 0
-    if size > limit:
-        raise ValueError(f"projection of {size} bytes exceeds the broadcast limit of {limit}")
+    if size > (quantize.BROADCAST_BYTES if limit is None else limit):
+        return None
     grouped: dict[int, list] = {}
     for row in layers.orderBy("layer", "unit").collect():
         grouped.setdefault(row.layer, []).append(row)
@@ -61,13 +63,20 @@ def mlp_project(
     vec: str = "embedding",
     out: str = "latent",
 ) -> DataFrame:
-    """Add the output of dense layers; the activation follows all but the last."""
+    """Add the output of dense layers; the activation follows all but the last.
+
+    NaN, infinite and null elements of a vector count as 0. Layers beyond the broadcast limit
+    are applied one after the other, in blocks of units.
+    """
     k.activate(activation, np.zeros(1))
-    shipped = df.sparkSession.sparkContext.broadcast(fetch_layers(layers))
+    stack = fetch_layers(layers)
+    if stack is None:
+        return _project_in_blocks(df, layers, activation, vec, out)
+    shipped = df.sparkSession.sparkContext.broadcast(stack)
 
     def work(batch):
-        x = k.to_matrix(_column(batch, vec))
         stack = shipped.value
+        x = k.clean_matrix(_column(batch, vec), stack[0][0].shape[1])
         for depth, (weights, bias) in enumerate(stack):
             x = x @ weights.T + bias
             if depth < len(stack) - 1:
@@ -77,6 +86,39 @@ def mlp_project(
     return _arrow_map(df, df.columns, [_double_list(out)], work)
 
 
+def _project_in_blocks(df, layers, activation, vec, out) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    # One row per layer.
+    shapes = layers.groupBy("layer").agg(
+        F.max("unit").alias("last"), F.max(F.size("weights")).alias("dim")
+    ).orderBy("layer").collect()
+    current, previous = df.withColumn("_in", F.col(vec).cast("array<double>")), None
+    for depth, (layer, last, dim) in enumerate(shapes):
+        size = max(1, quantize.BROADCAST_BYTES // (8 * dim))
+        current = current.withColumn(out, F.array().cast("array<double>"))
+        for low in range(0, last + 1, size):
+            block = (F.col("layer") == layer) & F.col("unit").between(low, low + size - 1)
+            rows = layers.where(block).orderBy("unit").collect()
+            shipped = context.broadcast(
+                (np.array([r.weights for r in rows]), np.array([r.bias for r in rows]))
+            )
+            name = None if depth == len(shapes) - 1 else activation
+
+            def work(batch, shipped=shipped, name=name):
+                weights, bias = shipped.value
+                x = k.clean_matrix(_column(batch, "_in"), weights.shape[1])
+                y = k.activate(name, x @ weights.T + bias)
+                return {out: k.to_lists(np.hstack([k.to_matrix(_column(batch, out)), y]), pa.float64())}
+
+            step = materialize(
+                _arrow_map(current, current.columns, [_double_list(out)], work), "latent", previous
+            )
+            shipped.unpersist()
+            current = previous = step
+        current = current.withColumn("_in", F.col(out))
+    return current.select(*df.columns, out)
+
+
 def fit_projection(df: DataFrame, e_dim: int, vec: str = "embedding") -> DataFrame:
     """One-layer projection with the least squared reconstruction error.
 

@@ -3,25 +3,29 @@
 A codebook is a table ``(level int, code int, centroid array<double>)``. It is a
 model parameter (levels x codes x width), not data, yet its size is checked:
 codebooks within ``BROADCAST_BYTES`` ship whole to every task, larger ones are
-searched block by block with the running best kept in the table.
+searched block by block with the running best and its residual kept in the table.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sidforge.functions.vectors import absolute_gap, add, squared_gap
 from sidforge.operators import kernels as k
-from sidforge.session import materialize
+from sidforge.session import discard, materialize
 
 BROADCAST_BYTES = 256 << 20
 
@@ -30,9 +34,9 @@ def codebook_bytes(codebook: DataFrame) -> int:
     return codebook.agg(F.sum(F.size("centroid") * F.lit(8))).first()[0] or 0
 
 
-def fetch_levels(codebook: DataFrame, limit: int = BROADCAST_BYTES) -> list[np.ndarray] | None:
+def fetch_levels(codebook: DataFrame, limit: int | None = None) -> list[np.ndarray] | None:
     """The codebook as one matrix per level, or ``None`` if it exceeds ``limit`` bytes."""
-    if codebook_bytes(codebook) > limit:
+    if codebook_bytes(codebook) > (BROADCAST_BYTES if limit is None else limit):
         return None
     levels: dict[int, dict[int, list]] = {}
     for row in codebook.select("level", "code", "centroid").collect():
@@ -84,23 +88,68 @@ def _double_list(name: str) -> T.StructField:
     return T.StructField(name, T.ArrayType(T.DoubleType()))
 
 
+def _codeword_blocks(book: DataFrame, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """One level in blocks of at most ``limit`` bytes, at least a codeword each.
+
+    Yields the first code, the codewords, and the mask of those that repeat a lower code of
+    any block. Only one block is on the driver at a time.
+    """
+    first = book.groupBy("centroid").agg(F.min("code").alias("code"))
+    marked = book.join(first.select("code", F.lit(True).alias("first")), "code", "left")
+    marked = materialize(marked.select("code", "centroid", "first"), "blocks")
+    shape = marked.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("dim")).first()
+    size = max(1, limit // (8 * shape.dim))
+    for low in range(0, shape.n, size):
+        rows = marked.where(F.col("code").between(low, low + size - 1)).orderBy("code").collect()
+        if [r.code for r in rows] != list(range(low, min(low + size, shape.n))):
+            raise ValueError(f"codes are not 0..{shape.n - 1}")
+        yield (
+            low,
+            np.array([r.centroid for r in rows], dtype=np.float64),
+            np.array([r.first is None for r in rows]),
+        )
+    discard(marked)
+
+
 def codebook_distances(
-    df: DataFrame, codebook: DataFrame, level: int = 0, vec: str = "embedding"
+    df: DataFrame, codebook: DataFrame, level: int = 0, vec: str = "embedding",
+    limit: int | None = None,
 ) -> DataFrame:
     """Add ``distances``: squared distance to every codeword of one level, by code.
 
-    One array per row takes the place of a row per (vector, codeword) pair.
+    One array per row takes the place of a row per (vector, codeword) pair. Beyond ``limit``
+    bytes the codewords come in blocks and the array grows block by block.
     """
-    levels = fetch_levels(_one_level(codebook, level))
-    if levels is None:
-        raise ValueError("a distance per codeword needs a codebook within the broadcast limit")
-    shipped = df.sparkSession.sparkContext.broadcast(levels[0])
+    limit = BROADCAST_BYTES if limit is None else limit
+    book = _one_level(codebook, level)
+    added = [_double_list("distances")]
+    levels = fetch_levels(book, limit)
+    context = df.sparkSession.sparkContext
+    if levels is not None:
+        shipped = context.broadcast(levels[0])
+
+        def work(batch):
+            words = shipped.value
+            d = k.distances(k.clean_matrix(_column(batch, vec), words.shape[1]), words)
+            return {"distances": k.to_lists(d, pa.float64())}
+
+        return _arrow_map(df, df.columns, added, work)
+
+    current = df.withColumn("distances", F.array().cast("array<double>"))
+    previous = None
+    for _, part, _ in _codeword_blocks(book, limit):
+        shipped = context.broadcast(part)
 
-    def work(batch):
-        d = k.distances(k.to_matrix(_column(batch, vec)), shipped.value)
-        return {"distances": k.to_lists(d, pa.float64())}
+        def extend(batch, shipped=shipped):
+            words = shipped.value
+            d = k.distances(k.clean_matrix(_column(batch, vec), words.shape[1]), words)
+            both = np.hstack([k.to_matrix(_column(batch, "distances")), d])
+            return {"distances": k.to_lists(both, pa.float64())}
 
-    return _arrow_map(df, df.columns, [_double_list("distances")], work)
+        step = materialize(_arrow_map(current, current.columns, added, extend), "distances", previous)
+        shipped.unpersist()
+        current = previous = step
+    return current.select(*df.columns, "distances")
 
 
 def distance_rows(df: DataFrame, key: list[str]) -> DataFrame:
@@ -110,50 +159,59 @@ def distance_rows(df: DataFrame, key: list[str]) -> DataFrame:
 
 def nearest_code(
     df: DataFrame, codebook: DataFrame, level: int = 0, vec: str = "embedding",
-    limit: int = BROADCAST_BYTES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add ``code`` and ``distance`` of the nearest codeword, lowest code on ties."""
+    limit = BROADCAST_BYTES if limit is None else limit
     one = _one_level(codebook, level)
     added = [T.StructField("code", T.IntegerType()), T.StructField("distance", T.DoubleType())]
     levels = fetch_levels(one, limit)
     if levels is None:
-        return _nearest_in_blocks(df, one, vec, limit)
+        found = _nearest_in_blocks(df.withColumn("_rest", F.col(vec)), one, "_rest", limit)
+        return found.select(*df.columns, "code", "distance")
     book = levels[0]
     shipped = df.sparkSession.sparkContext.broadcast((book, k.first_copies(book)))
 
     def work(batch):
-        code, gap = k.nearest(k.to_matrix(_column(batch, vec)), *shipped.value)
+        book, repeats = shipped.value
+        code, gap = k.nearest(k.clean_matrix(_column(batch, vec), book.shape[1]), book, repeats)
         return {"code": pa.array(code, pa.int32()), "distance": pa.array(gap)}
 
     return _arrow_map(df, df.columns, added, work)
 
 
-def _nearest_in_blocks(df: DataFrame, book: DataFrame, vec: str, limit: int) -> DataFrame:
-    """Nearest code over a codebook too large to ship whole.
+def _nearest_in_blocks(df: DataFrame, book: DataFrame, rest: str, limit: int) -> DataFrame:
+    """Nearest code over a codebook too large to ship whole, with ``residual``.
 
-    Each pass compares all rows with one block of codewords and keeps the
-    better of the block's best and the best so far. A later block holds higher
-    codes, so only a strictly smaller distance replaces it.
+    Each pass compares all rows with one block of codewords and keeps the better of the
+    block's best and the best so far, and what that codeword leaves over of ``rest``. A later
+    block holds higher codes, so only a strictly smaller distance replaces it.
     """
-    shape = book.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("dim")).first()
-    block = max(1, limit // (8 * shape.dim))
-    added = [T.StructField("code", T.IntegerType()), T.StructField("distance", T.DoubleType())]
-    current = df.withColumns({"code": F.lit(-1), "distance": F.lit(float("inf"))})
+    added = [
+        T.StructField("code", T.IntegerType()), T.StructField("distance", T.DoubleType()),
+        _double_list("residual"),
+    ]
+    current = df.withColumns({
+        "code": F.lit(-1), "distance": F.lit(float("inf")), "residual": F.col(rest).cast("array<double>"),
+    })
     previous = None
-    for low in range(0, shape.n, block):
-        rows = book.where(F.col("code").between(low, low + block - 1)).orderBy("code").collect()
-        part = np.array([r.centroid for r in rows], dtype=np.float64)
-        shipped = df.sparkSession.sparkContext.broadcast((part, k.first_copies(part), low))
+    for low, part, repeats in _codeword_blocks(book, limit):
+        if repeats.all():
+            continue  # lower blocks hold the same codewords
+        shipped = df.sparkSession.sparkContext.broadcast((part, repeats, low))
 
         def work(batch, shipped=shipped):
             part, repeats, low = shipped.value
-            code, gap = k.nearest(k.to_matrix(_column(batch, vec)), part, repeats)
+            x = k.clean_matrix(_column(batch, rest), part.shape[1])
+            code, gap = k.nearest(x, part, repeats)
             old_gap = _column(batch, "distance").to_numpy(zero_copy_only=False)
             old_code = _column(batch, "code").to_numpy(zero_copy_only=False)
-            better = gap < old_gap
+            better = (gap < old_gap) | (old_code < 0)
+            left = np.where(better[:, None], x - part[code], k.clean_matrix(_column(batch, "residual")))
             return {
                 "code": pa.array(np.where(better, code + low, old_code), pa.int32()),
                 "distance": pa.array(np.where(better, gap, old_gap)),
+                "residual": k.to_lists(left, pa.float64()),
             }
 
         step = materialize(_arrow_map(current, current.columns, added, work), "nearest", previous)
@@ -169,14 +227,16 @@ def assign_codes(
     keep: list[str] | None = None,
     errors: bool = False,
     residual: bool = False,
-    limit: int = BROADCAST_BYTES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add ``code_0 .. code_{L-1}``: nearest codeword of what earlier levels left over.
 
     All levels run in one Arrow pass. ``keep`` lists the columns to carry
     (default: all but the vector). ``errors`` adds the squared error after each
-    level, ``residual`` the vector that remains.
+    level, ``residual`` the vector that remains. NaN, infinite and null elements
+    count as 0; a null vector or one of another width stops the job.
     """
+    limit = BROADCAST_BYTES if limit is None else limit
     keep = [c for c in df.columns if c != vec] if keep is None else keep
     levels = fetch_levels(codebook, limit)
     if levels is None:
@@ -186,7 +246,9 @@ def assign_codes(
     extra = [_double_list("errors")] * errors + [_double_list("residual")] * residual
 
     def work(batch):
-        found, rest, err = k.residual_codes(k.to_matrix(_column(batch, vec)), *shipped.value)
+        books, repeats = shipped.value
+        x = k.clean_matrix(_column(batch, vec), books[0].shape[1])
+        found, rest, err = k.residual_codes(x, books, repeats)
         out = {f"code_{i}": pa.array(found[:, i], pa.int32()) for i in range(found.shape[1])}
         if errors:
             out["errors"] = k.to_lists(err, pa.float64())
@@ -200,56 +262,97 @@ def assign_codes(
 
 
 def _assign_level_by_level(df, codebook, vec, keep, errors, residual, limit) -> DataFrame:
-    """Assignment with a codebook beyond the broadcast limit; codewords come by join."""
+    """Assignment with a codebook beyond the broadcast limit: the residual travels with the
+    best code, so no row is joined to its codeword."""
     levels = codebook.agg(F.max("level")).first()[0] + 1
     source = [c for c in keep if c != vec]
     current = df.select(
-        *[F.col(c) for c in source], F.col(vec).alias("_vector"),
-        F.col(vec).cast("array<double>").alias("residual"),
+        *[F.col(c) for c in source], *([F.col(vec).alias("_vector")] if vec in keep else []),
+        F.col(vec).cast("array<double>").alias("_rest"),
         F.array().cast("array<double>").alias("errors"),
     )
+    square = "aggregate(residual, 0D, (acc, x) -> acc + x * x)"
+    written = None
     for level in range(levels):
-        found = nearest_code(current, codebook, level, "residual", limit).drop("distance")
-        words = codebook.where(F.col("level") == level).select("code", "centroid")
-        rest = F.zip_with("residual", "centroid", lambda a, b: a - b)
+        found = _nearest_in_blocks(current, _one_level(codebook, level), "_rest", limit)
+        if written is not None:
+            discard(written)
+        written = found
         current = (
-            found.join(words, "code")
-            .withColumn("residual", rest)
-            .withColumn("errors", F.concat("errors", F.array(
-                F.aggregate("residual", F.lit(0.0), lambda acc, x: acc + x * x))))
+            found.withColumn("errors", F.concat("errors", F.array(F.expr(square))))
             .withColumnRenamed("code", f"code_{level}")
-            .drop("centroid")
+            .drop("_rest", "distance")
+            .withColumnRenamed("residual", "_rest")
         )
     names = [f"code_{i}" for i in range(levels)]
-    extra = ["errors"] * errors + ["residual"] * residual
+    extra = ["errors"] * errors + [F.col("_rest").alias("residual")] * residual
     kept = [F.col("_vector").alias(vec) if c == vec else F.col(c) for c in keep]
     return current.select(*kept, *names, *extra)
 
 
-def decode(df: DataFrame, codebook: DataFrame, out: str = "reconstruction") -> DataFrame:
+def decode(
+    df: DataFrame, codebook: DataFrame, out: str = "reconstruction", limit: int | None = None
+) -> DataFrame:
     """Add the sum of the codewords named by the code columns, null for a null code.
 
-    One lookup per level; the codebook side is broadcast while it is small. A code outside the
-    codebook stops the job.
+    One broadcast lookup per level, or a pass per block of codewords where the codebook is
+    larger than ``limit`` bytes. A code outside the codebook stops the job.
     """
-    small = codebook_bytes(codebook) <= BROADCAST_BYTES
+    limit = BROADCAST_BYTES if limit is None else limit
     columns = df.columns
     # The codebook names the levels: further code columns, such as a rank, have no codewords.
     levels = [r.level for r in codebook.select("level").distinct().sort("level").collect()]
+    if codebook_bytes(codebook) > limit:
+        return _decode_in_blocks(df, codebook, levels, out, limit)
     current = df
     for level in levels:
         name = f"code_{level}"
         words = codebook.where(F.col("level") == level).select(
             F.col("code").alias(name), F.col("centroid").alias(f"_word_{level}")
         )
-        current = current.join(F.broadcast(words) if small else words, name, "left")
-        unknown = F.raise_error(F.concat(F.lit(f"{name} outside the codebook: "), F.col(name).cast("string")))
-        word = F.coalesce(f"_word_{level}", F.when(F.col(name).isNotNull(), unknown.cast("array<double>")))
+        current = current.join(F.broadcast(words), name, "left")
+        unknown = _unknown_code(name).cast("array<double>")
+        word = F.coalesce(f"_word_{level}", F.when(F.col(name).isNotNull(), unknown))
         current = current.withColumn(f"_word_{level}", word)
     total = add([f"_word_{level}" for level in levels])
     return current.select(*columns, total.alias(out))
 
 
+def _unknown_code(name: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{name} outside the codebook: "), F.col(name).cast("string")))
+
+
+def _decode_in_blocks(df, codebook, levels, out, limit) -> DataFrame:
+    """Decoding with a codebook beyond the broadcast limit: each pass adds one block's words."""
+    dim = codebook.agg(F.max(F.size("centroid"))).first()[0]
+    names = [f"code_{level}" for level in levels]
+    current = df.withColumn(out, F.array_repeat(F.lit(0.0), dim))
+    for level, n in codebook.groupBy("level").count().collect():
+        name = f"code_{level}"
+        known = F.col(name).isNull() | F.col(name).between(0, n - 1)
+        current = current.withColumn(name, F.when(known, F.col(name)).otherwise(_unknown_code(name).cast("int")))
+    previous = None
+    for level, name in zip(levels, names):
+        for low, part, _ in _codeword_blocks(_one_level(codebook, level), limit):
+            shipped = df.sparkSession.sparkContext.broadcast((part, low))
+
+            def work(batch, shipped=shipped, name=name):
+                part, low = shipped.value
+                code = pc.fill_null(_column(batch, name), -1).to_numpy(zero_copy_only=False) - low
+                here = (code >= 0) & (code < len(part))
+                total = k.to_matrix(_column(batch, out))
+                total[here] += part[code[here]]
+                return {out: k.to_lists(total, pa.float64())}
+
+            step = materialize(
+                _arrow_map(current, current.columns, [_double_list(out)], work), "decoded", previous
+            )
+            shipped.unpersist()
+            current = previous = step
+    whole = reduce(and_, (F.col(name).isNotNull() for name in names))
+    return current.withColumn(out, F.when(whole, F.col(out))).select(*df.columns, out)
+
+
 def quant_loss(
     df: DataFrame, codebook: DataFrame, vec: str = "embedding", beta: float = 0.25
 ) -> DataFrame:

@@ -7,8 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from sidforge.operators.fit import CODEBOOK_SCHEMA
-from sidforge.operators.project import LAYER_SCHEMA, mlp_project
-from sidforge.operators.quantize import assign_codes
+from sidforge.operators.project import LAYER_SCHEMA, fetch_layers, mlp_project
+from sidforge.operators.quantize import assign_codes, fetch_levels
 
 
 class Quantizer(NamedTuple):
@@ -18,6 +18,11 @@ class Quantizer(NamedTuple):
     layers: DataFrame | None = None
     activation: str = "relu"
 
+    def is_small(self) -> bool:
+        """Whether codebook and projection ship whole to every task."""
+        small = fetch_levels(self.codebook) is not None
+        return small and (self.layers is None or fetch_layers(self.layers) is not None)
+
     def assign(self, df: DataFrame, vec: str = "embedding", keep: list[str] | None = None) -> DataFrame:
         """Codes of every vector, after the projection if there is one."""
         if self.layers is None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,17 +60,21 @@ def vector_shape(df: DataFrame, vec: str = "embedding") -> DataFrame:
     )
 
 
-def validate_vectors(df: DataFrame, vec: str = "embedding") -> int:
-    """Width of the vectors; raises on an empty table, nulls or ragged widths."""
-    shape = vector_shape(df.where(F.col(vec).isNotNull()), vec).first()
-    nulls = df.where(F.col(vec).isNull()).count()
-    if shape.n + nulls == 0:
+def valid_shape(df: DataFrame, vec: str = "embedding") -> Row:
+    """:func:`vector_shape` as a row; raises on an empty table, nulls or ragged widths."""
+    shape = vector_shape(df, vec).first()
+    if shape.n == 0:
         raise ValueError("no vectors to read")
-    if nulls:
-        raise ValueError(f"{nulls} null vectors; clean the table first")
+    if shape.nulls:
+        raise ValueError(f"{shape.nulls} null vectors; clean the table first")
     if shape.min_dim != shape.max_dim:
         raise ValueError(f"ragged vectors, widths {shape.min_dim} to {shape.max_dim}")
-    return shape.max_dim
+    return shape
+
+
+def validate_vectors(df: DataFrame, vec: str = "embedding") -> int:
+    """Width of the vectors; raises as :func:`valid_shape` does."""
+    return valid_shape(df, vec).max_dim
 
 
 def dim_mismatch(df: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:

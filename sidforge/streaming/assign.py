@@ -3,21 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sidforge.functions.vectors import sanitize
+from sidforge.functions.vectors import checked
 from sidforge.sources.model import Quantizer
 
 
-def checked(vec: str, dim: int):
-    """The vector, sanitized; a row that is null or of another width fails the batch."""
-    width = F.coalesce(F.size(vec), F.lit(-1))
-    problem = F.concat(F.lit(f"expected {dim} elements, found "), width.cast("string"))
-    return F.when(width == dim, sanitize(vec)).otherwise(
-        F.raise_error(problem).cast("array<float>")
-    )
-
-
 def stream_assign(
     spark: SparkSession,
     in_dir: str,
@@ -33,17 +23,23 @@ def stream_assign(
 
     Stateless, so late or repeated triggers need no watermark. ``checkpoint``
     belongs on the shared folder; a restart goes on after the last written batch.
+
+    A model beyond the broadcast limit needs written tables between its passes, which a
+    streaming plan cannot hold; its batches are assigned and written one by one. A batch that
+    is run again replaces its own folder.
     """
     arriving = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(in_dir)
     )
-    coded = model.assign(arriving.withColumn(vec, checked(vec, dim)), vec)
-    query = (
-        coded.writeStream.format("parquet")
-        .option("path", out_dir)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(out_dir)
+    arriving = arriving.withColumn(vec, checked(vec, dim))
+    if model.is_small():
+        sink = model.assign(arriving, vec).writeStream.format("parquet").option("path", out_dir)
+    else:
+
+        def write_batch(rows: DataFrame, number: int) -> None:
+            model.assign(rows, vec).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+
+        sink = arriving.writeStream.foreachBatch(write_batch)
+    sink = sink.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    sink.start().awaitTermination()
+    return spark.read.parquet(out_dir).drop("batch")

@@ -4,9 +4,10 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as contract
+from sidforge.plans import catalog, oracle
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLE = oracle.oracle_sql()
 NO_TWIN = {
     "fit_projection", "fit_codebook", "fit_residual_quantizer", "resolve_collisions",
     "learn_merges_default",
@@ -16,6 +17,8 @@ NO_TWIN = {
 def test_only_iterative_queries_lack_a_twin():
     assert set(QUERIES) - set(ORACLE) == NO_TWIN
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.fixture(scope="module")

@@ -200,3 +200,80 @@ def test_decode_loses_no_row(spark):
     assert found == {1: [1.5, 0.5], 2: [0.5, 1.5], 3: None}
     with pytest.raises(Exception, match="code_0 outside the codebook: 5"):
         quantize.decode(spark.createDataFrame([(1, 5, 0)], "idx bigint, code_0 int, code_1 int"), book).collect()
+
+
+LIMITS = [quantize.BROADCAST_BYTES, 200]
+
+
+@pytest.mark.parametrize("limit", LIMITS)
+def test_every_lookup_ignores_the_broadcast_limit(spark, monkeypatch, limit):
+    x, books, df, table = make(spark, 8, n=60)
+    repeated = [np.vstack([b, b[:2]]) for b in books]
+    table = fit.codebook_table(spark, repeated)
+    monkeypatch.setattr(quantize, "BROADCAST_BYTES", limit)
+    codes, rest, _ = by_hand(x, books)
+    assert (sorted_codes(quantize.assign_codes(df, table)) == codes).all()
+    wide = quantize.codebook_distances(df, table, 0).orderBy("idx").collect()
+    assert np.allclose([r.distances for r in wide], ((x[:, None] - repeated[0][None]) ** 2).sum(axis=2))
+    near = quantize.nearest_code(df, table).orderBy("idx").collect()
+    assert [r.code for r in near] == codes[:, 0].tolist()
+    coded = quantize.assign_codes(df, table).withColumn("code_3", F.lit(5))
+    back = quantize.decode(coded, table)
+    assert back.columns == [*coded.columns, "reconstruction"]
+    assert np.allclose([r.reconstruction for r in back.orderBy("idx").collect()], x - rest)
+    hole = quantize.decode(coded.withColumn("code_1", F.expr("if(idx = 3, null, code_1)")), table)
+    assert [r.idx for r in hole.where("reconstruction is null").collect()] == [3]
+    with pytest.raises(Exception, match="outside the codebook"):
+        quantize.decode(coded.withColumn("code_1", F.lit(77)), table).collect()
+
+
+@pytest.mark.parametrize("limit", LIMITS)
+def test_projection_ignores_the_broadcast_limit(spark, monkeypatch, limit):
+    x, _, df, _ = make(spark, 9, n=40)
+    rng = np.random.default_rng(1)
+    stack = [(rng.normal(size=(5, 6)), rng.normal(size=5)), (rng.normal(size=(3, 5)), rng.normal(size=3))]
+    rows = [
+        (layer, unit, w[unit].tolist(), float(b[unit]))
+        for layer, (w, b) in enumerate(stack) for unit in range(len(b))
+    ]
+    layers = spark.createDataFrame(rows, project.LAYER_SCHEMA)
+    monkeypatch.setattr(quantize, "BROADCAST_BYTES", limit)
+    found = project.mlp_project(df, layers, "relu").orderBy("idx").collect()
+    wanted = np.maximum(x @ stack[0][0].T + stack[0][1], 0) @ stack[1][0].T + stack[1][1]
+    assert np.allclose([r.latent for r in found], wanted)
+
+
+@pytest.mark.parametrize("limit", LIMITS)
+def test_broken_elements_count_as_zero(spark, monkeypatch, limit):
+    monkeypatch.setattr(quantize, "BROADCAST_BYTES", limit)
+    table = fit.codebook_table(spark, [[[9.0, 0.0], [0.0, 9.0]], [[0.0, 0.0], [0.0, 1.0]]])
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [(0, [nan, 9.0]), (1, [inf, 9.0]), (2, [None, 9.0]), (3, [9.0, -inf]), (4, [0.0, 10.0])],
+        "idx bigint, embedding array<float>",
+    )
+    found = quantize.assign_codes(df, table, residual=True).orderBy("idx").collect()
+    assert [(r.code_0, r.code_1) for r in found] == [(1, 0), (1, 0), (1, 0), (0, 0), (1, 1)]
+    assert all(np.isfinite(r.residual).all() for r in found)
+    for bad in (None, [1.0]):
+        broken = spark.createDataFrame([(0, [1.0, 1.0]), (1, bad)], df.schema)
+        with pytest.raises(Exception, match="null vectors|ragged|expected 2"):
+            quantize.assign_codes(broken.coalesce(1), table).collect()
+        with pytest.raises(Exception, match="null vectors|ragged"):
+            fit.fit_rq(broken, [1], iters=1, restarts=1)
+
+
+@pytest.mark.parametrize("limit", LIMITS)
+def test_stream_and_batch_agree(spark, monkeypatch, folder, limit):
+    from sidforge.streaming.assign import stream_assign
+
+    x, _, df, table = make(spark, 10, n=50)
+    dirty = df.withColumn("embedding", F.expr("transform(embedding, (v, i) -> if((idx + i) % 7 = 0, float('nan'), v))"))
+    dirty.repartition(4).write.parquet(f"{folder}/in")
+    monkeypatch.setattr(quantize, "BROADCAST_BYTES", limit)
+    model = models.Quantizer(table)
+    streamed = stream_assign(
+        spark, f"{folder}/in", f"{folder}/out", model, 6, f"{folder}/state", files_per_trigger=2
+    )
+    assert streamed.columns == ["idx", "code_0", "code_1", "code_2"]
+    assert sorted(streamed.collect()) == sorted(model.assign(dirty).collect())
