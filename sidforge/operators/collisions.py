@@ -14,16 +14,15 @@ from pyspark.sql import types as T
 
 from sidforge.functions.tokens import code_columns
 from sidforge.operators import kernels as k
-from sidforge.operators.balance import TASK_ROWS, sinkhorn_assign
+from sidforge.operators.balance import rows_per_task, sinkhorn_codes
 from sidforge.operators.identity import CHUNK_ROWS, rank_within
 from sidforge.operators.quantize import (
     assign_codes,
-    codebook_distances,
     fetch_levels,
     nearest_code,
 )
 from sidforge.operators.skew import join_counted
-from sidforge.session import materialize
+from sidforge.session import discard, materialize
 
 
 def bucket_sizes(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -107,7 +106,7 @@ def resolve_collisions(
     iters: int = 50,
     vec: str = "embedding",
     idx: str = "idx",
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Re-encode items that share codes, balancing the last level in each bucket.
 
@@ -118,7 +117,8 @@ def resolve_collisions(
 
     An item never leaves its prefix (all codes but the last), so prefixes are
     independent. One with at most ``task_rows`` items runs all its rounds in one
-    task; a larger one stays spread out, one job per round.
+    task; a larger one stays spread out, one job per round, and so do all prefixes when the
+    last level is beyond the broadcast limit.
     """
     levels = codebook.agg(F.max("level")).first()[0] + 1
     prefix = [f"code_{i}" for i in range(levels - 1)]
@@ -133,6 +133,12 @@ def resolve_collisions(
     found = nearest_code(left, codebook, levels - 1, "residual")
     state = materialize(found.select(idx, *prefix, F.col("code").alias(last), "residual"), "codes")
     book = codebook.where(F.col("level") == levels - 1).withColumn("level", F.lit(0))
+    words = fetch_levels(book)
+    if words is None or not prefix:
+        # A single level has one prefix, the whole table.
+        return _repair_spread(state, book, names, rounds, eps, iters, idx, task_rows)
+    words = words[0]
+    task_rows = task_rows or rows_per_task(max(words.shape))
 
     shared = bucket_sizes(state, [*prefix, last]).groupBy(*prefix).agg(
         F.max("n").alias("_most"), F.sum("n").alias("_size")
@@ -141,15 +147,12 @@ def resolve_collisions(
     sized = materialize(shared.where("_most > 1"), "prefixes")
     small = sized.where(F.col("_size") <= task_rows).select(*prefix)
     large = sized.where(F.col("_size") > task_rows).select(*prefix)
-    if not prefix:
-        # A single level has one prefix, the whole table.
-        return _repair_spread(state, book, names, rounds, eps, iters, idx, task_rows)
     # At most rows / task_rows prefixes are large.
     big = F.broadcast(large)
     calm = state.join(big, prefix, "left_anti")
     quiet = calm.join(small, prefix, "left_anti").select(idx, *names)
     crowded = calm.join(small, prefix, "left_semi")
-    inside = _repair_in_tasks(crowded, book, names, rounds, eps, iters, idx)
+    inside = _repair_in_tasks(crowded, words, names, rounds, eps, iters, idx)
     result = quiet.unionByName(inside)
     if not large.isEmpty():
         huge = state.join(big, prefix, "left_semi")
@@ -159,11 +162,11 @@ def resolve_collisions(
     return result
 
 
-def _repair_in_tasks(df, book, names, rounds, eps, iters, idx) -> DataFrame:
+def _repair_in_tasks(df, words, names, rounds, eps, iters, idx) -> DataFrame:
     """All rounds of a prefix inside one task."""
     *prefix, last = names
     schema = T.StructType([df.schema[c] for c in (idx, *names)])
-    shipped = df.sparkSession.sparkContext.broadcast(fetch_levels(book)[0])
+    shipped = df.sparkSession.sparkContext.broadcast(words)
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.sort_by(idx)
@@ -176,27 +179,26 @@ def _repair_in_tasks(df, book, names, rounds, eps, iters, idx) -> DataFrame:
 
 
 def _repair_spread(df, book, names, rounds, eps, iters, idx, task_rows) -> DataFrame:
-    """Rounds over prefixes too large for a task."""
+    """Rounds over prefixes too large for a task. Rows keep their residual, so a round
+    shuffles the rows to their tuples and joins nothing back."""
     last = names[-1]
-    residuals = df.select(idx, "residual")
-    codes, written = df.select(idx, *names), None
+    columns = [idx, *names, "residual"]
+    state, written = df.select(*columns), None
     for _ in range(rounds):
-        members = collision_groups(codes, names, idx)
-        batch = members.select(idx, F.concat_ws("-", *names).alias("batch"))
-        measured = codebook_distances(batch.join(residuals, idx), book, 0, "residual")
-        moved = sinkhorn_assign(
-            measured.drop("residual"), "batch", idx, eps, iters, task_rows=task_rows
+        shared = bucket_sizes(state, names).where("n > 1")
+        marked = materialize(join_counted(state, shared, names, "n", "left").select(*columns, "n"), "marked")
+        batch = F.concat_ws("-", *names).alias("batch")
+        members = marked.where("n > 1").select(*columns, batch)
+        moved = sinkhorn_codes(
+            members, book, "batch", idx, "residual", 0, eps, iters, task_rows, columns[1:]
         )
-        updated = codes.join(moved.select(idx, F.col("code").alias("_new")), idx, "left")
-        changed = F.col("_new").isNotNull() & (F.col("_new") != F.col(last))
-        step = materialize(
-            updated.select(
-                idx, *names[:-1], F.coalesce("_new", last).alias(last), changed.alias("_changed")
-            ),
-            "codes",
-            replaces=written,
+        moved = moved.select(
+            idx, *names[:-1], F.col("code").alias(last), "residual", (F.col("code") != F.col(last)).alias("_changed")
         )
-        written, codes = step, step.select(idx, *names)
+        quiet = marked.where("n is null").select(*columns, F.lit(False).alias("_changed"))
+        step = materialize(quiet.unionByName(moved), "codes", replaces=written)
+        discard(marked)
+        written, state = step, step.select(*columns)
         if step.where("_changed").isEmpty():
             break
-    return codes
+    return state.select(idx, *names)

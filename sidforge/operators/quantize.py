@@ -181,7 +181,7 @@ def nearest_code(
 
 
 def _nearest_in_blocks(df: DataFrame, book: DataFrame, rest: str, limit: int) -> DataFrame:
-    """Nearest code over a codebook too large to ship whole, with ``residual``.
+    """Nearest code over a codebook too large to ship whole, with what it leaves as ``_left``.
 
     Each pass compares all rows with one block of codewords and keeps the better of the
     block's best and the best so far, and what that codeword leaves over of ``rest``. A later
@@ -189,10 +189,10 @@ def _nearest_in_blocks(df: DataFrame, book: DataFrame, rest: str, limit: int) ->
     """
     added = [
         T.StructField("code", T.IntegerType()), T.StructField("distance", T.DoubleType()),
-        _double_list("residual"),
+        _double_list("_left"),
     ]
     current = df.withColumns({
-        "code": F.lit(-1), "distance": F.lit(float("inf")), "residual": F.col(rest).cast("array<double>"),
+        "code": F.lit(-1), "distance": F.lit(float("inf")), "_left": F.col(rest).cast("array<double>"),
     })
     previous = None
     for low, part, repeats in _codeword_blocks(book, limit):
@@ -207,11 +207,11 @@ def _nearest_in_blocks(df: DataFrame, book: DataFrame, rest: str, limit: int) ->
             old_gap = _column(batch, "distance").to_numpy(zero_copy_only=False)
             old_code = _column(batch, "code").to_numpy(zero_copy_only=False)
             better = (gap < old_gap) | (old_code < 0)
-            left = np.where(better[:, None], x - part[code], k.clean_matrix(_column(batch, "residual")))
+            left = np.where(better[:, None], x - part[code], k.clean_matrix(_column(batch, "_left")))
             return {
                 "code": pa.array(np.where(better, code + low, old_code), pa.int32()),
                 "distance": pa.array(np.where(better, gap, old_gap)),
-                "residual": k.to_lists(left, pa.float64()),
+                "_left": k.to_lists(left, pa.float64()),
             }
 
         step = materialize(_arrow_map(current, current.columns, added, work), "nearest", previous)
@@ -271,7 +271,7 @@ def _assign_level_by_level(df, codebook, vec, keep, errors, residual, limit) ->
         F.col(vec).cast("array<double>").alias("_rest"),
         F.array().cast("array<double>").alias("errors"),
     )
-    square = "aggregate(residual, 0D, (acc, x) -> acc + x * x)"
+    square = "aggregate(_left, 0D, (acc, x) -> acc + x * x)"
     written = None
     for level in range(levels):
         found = _nearest_in_blocks(current, _one_level(codebook, level), "_rest", limit)
@@ -282,7 +282,7 @@ def _assign_level_by_level(df, codebook, vec, keep, errors, residual, limit) ->
             found.withColumn("errors", F.concat("errors", F.array(F.expr(square))))
             .withColumnRenamed("code", f"code_{level}")
             .drop("_rest", "distance")
-            .withColumnRenamed("residual", "_rest")
+            .withColumnRenamed("_left", "_rest")
         )
     names = [f"code_{i}" for i in range(levels)]
     extra = ["errors"] * errors + [F.col("_rest").alias("residual")] * residual

@@ -372,6 +372,13 @@ def residual_quantize(spark, sf_dir):
     return int_codes(spark, sf_dir)
 
 
+@query
+def residual_quantize_dirty(spark, sf_dir):
+    """Vectors with NaN, infinite and null elements, which count as 0."""
+    codes = quantize.assign_codes(views.dirty_vectors(spark, sf_dir), views.codebook(spark, sf_dir))
+    return codes.withColumnRenamed("vec_id", "idx")
+
+
 @query
 def decode_codes(spark, sf_dir):
     book = views.codebook(spark, sf_dir)
@@ -431,15 +438,15 @@ def model_tables(spark, sf_dir):
     return models.load_model(spark, path).assign(views.item_vectors(spark, sf_dir))
 
 
-def _balanced(spark, sf_dir, rows_per_batch: int, task_rows: int) -> DataFrame:
+def _balanced(spark, sf_dir, rows_per_batch: int, task_rows: int | None = None) -> DataFrame:
     table = views.vectors(spark, sf_dir).withColumn("batch", F.expr(f"idx div {rows_per_batch}"))
-    measured = quantize.codebook_distances(table, views.codebook(spark, sf_dir)).drop("embedding")
-    return balance.sinkhorn_assign(measured, "batch", eps=0.05, iters=5, task_rows=task_rows)
+    book = views.codebook(spark, sf_dir)
+    return balance.sinkhorn_codes(table, book, "batch", eps=0.05, iters=5, task_rows=task_rows)
 
 
 @query
 def sinkhorn_assign(spark, sf_dir):
-    return _balanced(spark, sf_dir, 128, balance.TASK_ROWS)
+    return _balanced(spark, sf_dir, 128)
 
 
 @query

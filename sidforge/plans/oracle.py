@@ -318,6 +318,17 @@ ORACLE["codebook_distance"] = (
 )
 ORACLE["nearest_code"] = "select vec_id as idx, code, round(d, 6) as distance from near0"
 ORACLE["residual_quantize"] = "select * from codes"
+CTES["clean_vec"] = (
+    f"select vec_id, list(case when {BROKEN} or isinf(x) then 0 else x end::double order by i) as x "
+    "from dirty group by vec_id"
+)
+CTES["clean0"] = nearest("clean_vec", "x", "vec_id", 0)
+CTES["clean1"] = nearest("clean0", "rest", "vec_id", 1)
+CTES["clean2"] = nearest("clean1", "rest", "vec_id", 2)
+ORACLE["residual_quantize_dirty"] = (
+    "select vec_id as idx, a.code as code_0, b.code as code_1, c.code as code_2 "
+    "from clean0 a join clean1 b using (vec_id) join clean2 c using (vec_id)"
+)
 CTES["words_of"] = (
     "select vec_id, level, c from vec_codes join cb on "
     "(level = 0 and code = code_0) or (level = 1 and code = code_1) or (level = 2 and code = code_2)"

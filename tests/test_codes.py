@@ -256,3 +256,25 @@ def test_repair_of_a_single_level(spark):
     table = fit.codebook_table(spark, [book])
     rows = sorted(collisions.resolve_collisions(df, table, 3, 0.05, 50).collect())
     assert [r.code_0 for r in rows] == repaired_by_hand(x, [book], 3, 0.05, 50)[:, 0].tolist()
+
+
+@pytest.mark.parametrize("task_rows", [None, 40])
+def test_balanced_levels_and_repair_ignore_the_broadcast_limit(spark, monkeypatch, task_rows):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 4))
+    books = [rng.normal(size=(5, 4)), rng.normal(size=(4, 4)), rng.normal(size=(6, 4))]
+    df = spark.createDataFrame(
+        [(i, i % 2, v.tolist()) for i, v in enumerate(x)], "idx bigint, batch int, embedding array<double>"
+    )
+    table = fit.codebook_table(spark, books)
+    found = []
+    for limit in (quantize.BROADCAST_BYTES, 100):
+        monkeypatch.setattr(quantize, "BROADCAST_BYTES", limit)
+        balanced = balance.assign_codes_balanced(
+            df, table, "batch", [0.05, 0.0, 0.05], iters=5, task_rows=task_rows
+        )
+        assert balanced.columns == ["idx", "batch", "code_0", "code_1", "code_2"]
+        repaired = collisions.resolve_collisions(df, table, 2, 0.05, 5, task_rows=task_rows)
+        assert repaired.columns == ["idx", "code_0", "code_1", "code_2"]
+        found.append((sorted(balanced.collect()), sorted(repaired.collect())))
+    assert found[0] == found[1] and len(found[0][1]) == 120
