@@ -17,15 +17,28 @@ FINAL_FIELDS = [
 
 
 def join_audit(items: DataFrame, index: DataFrame, idx: str = "idx") -> DataFrame:
-    """Row numbers found on one side only, with the side that has them."""
-    left = items.select(idx).withColumn("_item", F.lit(True))
-    right = index.select(idx).withColumn("_index", F.lit(True))
-    side = F.when(F.col("_index").isNull(), "items").otherwise("index")
-    return (
-        left.join(right, idx, "full_outer")
-        .where("_item is null or _index is null")
-        .select(idx, side.alias("side"))
+    """Row numbers that stop :func:`join_index`: found on one side only or repeated.
+
+    One row per number and side, with the rows ``n`` it has there.
+    """
+    sides = items.select(idx, F.lit("items").alias("side")).unionByName(
+        index.select(idx, F.lit("index").alias("side"))
+    )
+    # Counted before the shuffle; a null number meets nothing.
+    counts = sides.groupBy(idx).agg(
+        F.count_if(F.col("side") == "items").alias("_items"), F.count_if(F.col("side") == "index").alias("_index")
+    )
+    each = counts.select(
+        idx,
+        F.inline(
+            F.array(
+                F.struct(F.lit("items").alias("side"), F.col("_items").alias("n"), F.col("_index").alias("other")),
+                F.struct(F.lit("index").alias("side"), F.col("_index").alias("n"), F.col("_items").alias("other")),
+            )
+        ),
     )
+    lone = F.col(idx).isNull() | (F.col("other") == 0)
+    return each.where((F.col("n") > 1) | ((F.col("n") > 0) & lone)).select(idx, "side", "n")
 
 
 def join_index(

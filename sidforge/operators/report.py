@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sidforge.functions.tokens import code_columns, code_token, parse_code
 from sidforge.functions.vectors import norm
 from sidforge.operators.collisions import bucket_sizes, size_histogram
+from sidforge.operators.identity import with_idx
 from sidforge.operators.sampling import row_sample
 from sidforge.operators.skew import join_counted
 
@@ -148,15 +149,24 @@ def geo_collision_sets(df: DataFrame, code_cols: list[str] | None = None) -> Dat
 
 
 def norm_stats(
-    df: DataFrame, sample_n: int = 200_000, seed: int = 0, vec: str = "embedding", idx: str = "idx"
+    df: DataFrame, sample_n: int = 0, seed: int = 0, vec: str = "embedding", idx: str = "idx"
 ) -> DataFrame:
-    """L2 norms of a sample: size, extremes, median, mean, population deviation."""
-    length = row_sample(df.select(idx, vec), sample_n, seed, idx, False).select(norm(vec).alias("x"))
+    """L2 norms: rows, extremes, median, mean, population deviation.
+
+    All rows unless ``sample_n`` asks for a row sample. The median is the mean of the middle
+    rows of a range sort, so no task holds all norms. A null vector counts as a row only.
+    """
+    table = df.select(idx, vec)
+    if sample_n:
+        table = row_sample(table, sample_n, seed, idx, False)
+    length = with_idx(table.select(norm(vec).alias("x")), ["x"], "_place")
+    size = length.agg(F.count("*").alias("n"), F.count("x").alias("known")).first()
+    nulls = size.n - size.known  # sorted first
+    middle = [nulls + max(size.known - 1, 0) // 2, nulls + size.known // 2]
     return length.agg(
         F.count("*").alias("n"),
         F.min("x").alias("min_norm"),
-        # The sample bounds what the exact median holds.
-        F.percentile("x", F.lit(0.5)).alias("median_norm"),
+        F.avg(F.when(F.col("_place").isin(middle), F.col("x"))).alias("median_norm"),
         F.avg("x").alias("mean_norm"),
         F.max("x").alias("max_norm"),
         F.stddev_pop("x").alias("std_norm"),

@@ -123,10 +123,16 @@ def block_sample(
 ) -> DataFrame:
     """``ceil(n / block_rows)`` random blocks of consecutive rows, cut to ``n`` rows.
 
-    ``idx`` runs 0..rows-1. Picks are a few numbers, so rows are read by a semi
-    join and only the sample is sorted.
+    ``idx`` must run 0..rows-1; the job that counts the rows stops otherwise. Picks are a
+    few numbers, so rows are read by a semi join and only the sample is sorted.
     """
-    rows = df.count()
+    place = F.col(idx).cast("decimal(20,0)")
+    seen = df.agg(
+        F.count("*").alias("rows"), F.min(idx).alias("low"), F.max(idx).alias("high"), F.sum(place).alias("total")
+    ).first()
+    rows = seen.rows
+    if rows and (seen.low, seen.high, seen.total) != (0, rows - 1, rows * (rows - 1) // 2):
+        raise ValueError(f"{idx} does not run 0..{rows - 1}; number the rows first")
     n = min(n, rows)
     if n <= 0:
         return df.limit(0)

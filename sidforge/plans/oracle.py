@@ -289,8 +289,9 @@ ORACLE["join_index_items"] = (
     "from raw_items join index_rows using (idx)"
 )
 ORACLE["index_item_mismatch"] = (
-    "select idx, 'items' as side from kept_items where idx not in (select idx + 100 from codes) "
-    "union all select idx + 100, 'index' from codes where idx + 100 not in (select idx from kept_items)"
+    "select idx, 'items' as side, 1::bigint as n from kept_items where idx not in (select idx + 100 from codes) "
+    "union all select idx + 100, 'index', case when (idx + 100) % 50 = 0 then 2 else 1 end from codes "
+    "where idx + 100 not in (select idx from kept_items) or (idx + 100) % 50 = 0"
 )
 ORACLE["output_projection"] = (
     "select idx, "

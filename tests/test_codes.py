@@ -195,6 +195,10 @@ def test_repeated_vectors(spark):
     assert report.dup_vectors(df.limit(0)).first() == (0, 0, 0, None)
     norms = report.norm_stats(df).first()
     assert norms.n == 5 and norms.max_norm == pytest.approx(math.sqrt(10))
+    assert norms.median_norm == pytest.approx(math.sqrt(5))
+    four = df.orderBy(F.desc("embedding")).offset(1)
+    assert report.norm_stats(four).first().median_norm == pytest.approx((1 + math.sqrt(5)) / 2)
+    assert report.norm_stats(df.limit(0)).first().median_norm is None
 
 
 def repair_case(spark, n=400, seed=1):

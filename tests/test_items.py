@@ -146,7 +146,11 @@ def test_with_idx_spreads_equal_keys(spark):
 
 def test_join_check_names_the_strays(spark):
     left, right = spark.range(5).toDF("idx"), spark.range(1, 6).toDF("idx")
-    assert sorted(map(tuple, joins.join_audit(left, right).collect())) == [(0, "items"), (5, "index")]
+    assert sorted(map(tuple, joins.join_audit(left, right).collect())) == [(0, "items", 1), (5, "index", 1)]
+    twice = left.union(spark.createDataFrame([(2,), (None,)], "idx bigint"))
+    assert {tuple(r) for r in joins.join_audit(twice, right).collect()} == {
+        (0, "items", 1), (5, "index", 1), (2, "items", 2), (None, "items", 1)
+    }
     with pytest.raises(Exception, match="unmatched row of items: 0"):
         joins.join_index(left.where("idx < 3"), right.where("idx < 3")).collect()
     with pytest.raises(Exception, match="unmatched row of index: 5"):

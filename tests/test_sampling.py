@@ -201,3 +201,11 @@ def test_assignment_plan_reads_only_what_it_needs(spark, folder):
     coded = quantize.assign_codes(spark.read.parquet(f"{folder}/wide"), book, keep=["idx"])
     plan = coded._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<idx:bigint,embedding:array<float>>" in plan
+
+
+def test_block_sample_refuses_numbers_with_gaps(spark):
+    rows = spark.range(200).toDF("idx")
+    assert sampling.block_sample(rows, 30, 10).count() == 30
+    for wrong in (rows.where("idx <> 7"), rows.withColumn("idx", F.col("idx") + 1), rows.union(rows.where("idx = 3"))):
+        with pytest.raises(ValueError, match="does not run"):
+            sampling.block_sample(wrong, 30, 10)
