@@ -15,21 +15,28 @@ from sidforge.llm.common import crc_remainder, table
 from sidforge.session import materialize
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# Cosine with the nearest language below which a text is in none of them.
+# Cosine with the nearest language below which an endless text is in none of them. A shorter
+# one has a lower cosine also with its own language, so its bound is lower: it starts at 0 for
+# LEAST_EVIDENCE trigrams, and up to so many no text is rejected for its cosine.
 LEAST_COSINE = 0.3
+LEAST_EVIDENCE = 30
 SHINGLE, PERCENT = 5, 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts far from every learned language.
 
+    How far is far depends on the number of trigrams that count, so short and repetitive texts stay.
+
     Profiles are learned from the labelled rows of ``docs`` outside the held-out quarter.
     A null text goes, since it has no language.
     """
     held = F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False))
     prototypes = language.learn_prototypes(docs.where(~held).select("doc_id", "text", "lang"))
-    found = language.identify(docs, prototypes, docs.columns)
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE)
+    found = language.identify(docs, prototypes, docs.columns, "_evidence")
+    # Multiplied out, since a text without letters has no evidence.
+    far = F.col("score") * F.col("_evidence") < LEAST_COSINE * (F.col("_evidence") - LEAST_EVIDENCE)
+    known = (F.col("lang_pred") != language.UNKNOWN) & ~far
     return found.where(known).select(*docs.columns)
 
 

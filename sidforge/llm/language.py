@@ -91,12 +91,18 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[split], index
 
 
-def bundles(texts: list[str]) -> np.ndarray:
-    """One row of exact integers for each text, zero without letters."""
+def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """One row of exact integers for each text, zero without letters, and its evidence.
+
+    The evidence is the number of trigrams that count: the square of all over the sum of the
+    squares of each one's occurrences. It is the number of trigrams if none repeats, and that
+    of one copy if a text repeats itself.
+    """
     out = np.zeros((len(texts), DIMENSIONS))
+    total, squares = np.zeros(len(texts)), np.zeros(len(texts))
     row, codes = trigrams(texts)
     if not len(row):
-        return out
+        return out, total
     names, index = _distinct(codes)
     # Single precision holds the sums of shorter texts exactly and is faster.
     exact = np.float32 if np.bincount(row).max() < 1 << 24 else np.float64
@@ -106,14 +112,16 @@ def bundles(texts: list[str]) -> np.ndarray:
         cells = row[here] * len(block) + (index[here] - start)
         counts = np.bincount(cells, minlength=len(texts) * len(block)).reshape(len(texts), -1)
         out += counts.astype(exact) @ trigram_vectors(block).astype(exact)
-    return out
+        total += counts.sum(axis=1)
+        squares += np.einsum("ij,ij->i", counts, counts, dtype=np.float64)
+    return out, total**2 / np.maximum(squares, 1)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for piece in text_groups(batches):
         for start in range(0, piece.num_rows, _ROWS):
             part = piece.slice(start, _ROWS)
-            yield part, bundles(python_texts(part.column("text")))
+            yield part, *bundles(python_texts(part.column("text")))
 
 
 def learn_prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
@@ -128,7 +136,7 @@ def learn_prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
 
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
-        for part, vectors in _chunks(batches):
+        for part, vectors, _ in _chunks(batches):
             langs = part.column("lang").to_pylist()
             for lang in set(langs):
                 chosen = vectors[[x == lang for x in langs]].sum(axis=0)
@@ -148,15 +156,19 @@ def learn_prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array([c["x"] for c in r["v"]]) for r in whole.sort("lang").collect()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """``keep`` with ``lang_pred`` and ``score``, the cosine cut to 0..1."""
+def identify(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], evidence: str | None = None
+) -> DataFrame:
+    """``keep`` with ``lang_pred`` and ``score``, the cosine cut to 0..1, and the number of
+    trigrams that count in a column named by ``evidence``."""
+    more = [evidence] if evidence else []
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
     def score(batches):
-        for part, vectors in _chunks(batches):
+        for part, vectors, weight in _chunks(batches):
             size = np.linalg.norm(vectors, axis=1)
             best, cosine = np.zeros(len(size), np.int64), np.zeros(len(size))
             if names:
@@ -167,10 +179,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
             langs = [names[b] if k else UNKNOWN for b, k in zip(best, known)]
             columns = [part.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(langs, pa.string()), pa.array(np.where(known, cosine, 0.0))],
-                names=[*keep, "lang_pred", "score"],
+                [*columns, pa.array(langs, pa.string()), pa.array(np.where(known, cosine, 0.0)), *(pa.array(weight) for _ in more)],
+                names=[*keep, "lang_pred", "score", *more],
             )
 
     kept = schema_of(docs.select(*keep))
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    return rows.mapInArrow(score, f"{kept}, lang_pred string, score double")
+    extra = "".join(f", `{c}` double" for c in more)
+    return rows.mapInArrow(score, f"{kept}, lang_pred string, score double{extra}")
