@@ -4,6 +4,7 @@ The documents of a source are shuffled by a hash. A document's virtual finish ti
 number of source tokens up to and including it, divided by the source's target, so every
 source reaches 1 when its target is used up. A second pass over a source continues where the
 first ended. All finish times are sorted by range and cut where the total budget is spent.
+A source without a target has no finish times and is never taken.
 
 Tokens are runs of characters other than ASCII white space. A null text has none and a
 document without tokens is never taken. A null source is a source of its own, sorted last.
@@ -91,11 +92,12 @@ def mix(sized: DataFrame, budget: float = BUDGET) -> DataFrame:
     )
 
     def finish(passed: Column) -> Column:
-        return (F.col("source_size") * passed + F.col("_tokens")) / F.col("target")
+        # Evaluated for every row, before any condition on it.
+        return F.try_divide(F.col("source_size") * passed + F.col("_tokens"), F.col("target"))
 
     entry = "_finish", "source_rank", "_key", "doc_id", "size"
     passes = F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1)))
-    entries = queued.where("size > 0").withColumn("_pass", passes).withColumn("_finish", finish(F.col("_pass")))
+    entries = queued.where("size > 0 and target > 0").withColumn("_pass", passes).withColumn("_finish", finish(F.col("_pass")))
     # Finish times are spread evenly, so equal steps cut them into even ranges.
     steps = max(16, count // PART_ROWS)
     entries = entries.withColumn("_range", F.floor(F.least(F.col("_finish"), F.lit(4.0)) * steps))
@@ -121,7 +123,7 @@ def mix(sized: DataFrame, budget: float = BUDGET) -> DataFrame:
                 edge = F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(last, kinds, entry)))
                 below = below | (place <= edge)
             takes.append(below)
-    taken = sum((F.when((F.col("size") > 0) & t, F.col("size")).otherwise(0) for t in takes), F.lit(0))
+    taken = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & t, F.col("size")).otherwise(0) for t in takes), F.lit(0))
     taken = taken.cast("bigint").alias("taken")
     return decided.select("doc_id", "source", "size", "source_size", "target", taken)
 
