@@ -10,7 +10,8 @@ checks numbers and total length, and undoes the chunked framing. An archive that
 parse, a gap or repeat among the segments, a wrong length, a broken chunk or a wrong digest
 stops the job. A group is one record, so its size is that of one page.
 
-A null payload is empty; pages with a null id get no record.
+A null payload is empty; pages with a null id get no record. Rows that share a page id get a
+record each: the first has the id alone as its identifier, the others a copy number as well.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sidforge.operators.identity import with_idx
+from sidforge.session import materialize
+
 SEGMENT_BYTES = 64 << 10  # of one record's block
 CHUNK_BYTES = 8 << 10  # of one transfer chunk
 FILE_RECORDS = 2000  # pages of one archive file
@@ -51,7 +55,14 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(head).encode() + _END * 2 + block
 
 
-def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> Iterator[bytes]:
+def page_name(page_id: int, copy: int | None = 0) -> str:
+    """The identifier of a page's record without brackets; later copies have a number."""
+    return f"{_PAGE}{page_id}" + (f"#{copy}" if copy else "")
+
+
+def page_records(
+    page_id: int, url: str | None, payload: bytes, refers_to: int | None, copy: int = 0, refers_copy: int = 0
+) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response in one or more segments."""
     digest = hashlib.sha1(payload).hexdigest()
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", url or f"{_PAGE}{page_id}")
@@ -61,11 +72,12 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http;msgtype=response"),
     ]
-    name = ("WARC-Record-ID", f"<{_PAGE}{page_id}>")
+    own = page_name(page_id, copy)
+    name = ("WARC-Record-ID", f"<{own}>")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        more = [("WARC-Refers-To", f"<{_PAGE}{refers_to}>"), ("WARC-Profile", profile)]
+        more = [("WARC-Refers-To", f"<{page_name(refers_to, refers_copy)}>"), ("WARC-Profile", profile)]
         yield record("revisit", [name, *about, *more], http + b"Content-Length: %d\r\n\r\n" % len(payload))
         return
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -76,7 +88,7 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
     starts = range(SEGMENT_BYTES, len(block), SEGMENT_BYTES)
     for number, start in enumerate(starts, 2):
         fields = [
-            ("WARC-Record-ID", f"<{_PAGE}{page_id}:{number}>"),
+            ("WARC-Record-ID", f"<{own}:{number}>"),
             about[0],
             about[1],
             ("WARC-Segment-Origin-ID", name[1]),
@@ -89,7 +101,8 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers_to: int |
 
 def revisit_plan(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) with ``refers_to``: the largest page id among equal
-    payloads of LEAST_REVISIT bytes or more, null for that page itself.
+    payloads of LEAST_REVISIT bytes or more, null for that page itself. ``copy`` numbers rows that
+    share a page id from 0, and ``refers_copy`` is that of the first row with the payload.
 
     Digests are counted before they are shuffled, and only those that repeat are joined.
     """
@@ -103,11 +116,28 @@ def revisit_plan(pages: DataFrame) -> DataFrame:
     # A third of all pages may share a payload: the join splits such a key at run time.
     found = known.join(first, "_sha1", "left")
     refers = F.when((F.col("_bytes") >= LEAST_REVISIT) & (F.col("_kept") > F.col("page_id")), F.col("_kept"))
-    return found.select("page_id", "url", "html", refers.alias("refers_to"))
+    found = found.withColumn("refers_to", refers)
+    repeated = known.groupBy("page_id").agg(F.count("*").alias("_n")).where("_n > 1").select("page_id")
+    repeated = materialize(repeated, "repeated")
+    names = ["page_id", "url", "html", "refers_to"]
+    if repeated.isEmpty():
+        return found.select(*names, F.lit(0).cast("bigint").alias("copy"), F.lit(0).cast("bigint").alias("refers_copy"))
+    # Equal rows are spread by their place, which is written out before it is used.
+    again = found.join(repeated, "page_id").withColumn("_place", F.monotonically_increasing_id())
+    again = with_idx(materialize(again, "again"), ["page_id", "_sha1", "_place"], "_row")
+    again = materialize(again.select(*names, "_sha1", "_row"), "copies")
+    start = again.groupBy("page_id").agg(F.min("_row").alias("_start"))
+    again = again.join(start, "page_id").withColumn("copy", F.col("_row") - F.col("_start"))
+    single = found.join(repeated, "page_id", "left_anti").withColumn("copy", F.lit(0).cast("bigint"))
+    every = single.select(*names, "_sha1", "copy").unionByName(again.select(*names, "_sha1", "copy"))
+    # The first copy that holds the payload, where a revisit refers to a repeated id.
+    holds = again.groupBy(F.col("page_id").alias("refers_to"), "_sha1").agg(F.min("copy").alias("refers_copy"))
+    every = every.join(holds, ["refers_to", "_sha1"], "left")
+    return every.select(*names, "copy", F.coalesce("refers_copy", F.lit(0)).cast("bigint").alias("refers_copy"))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` (page_id, url, html, refers_to) as gzip WARC files below ``path``.
+    """Write ``pages`` (the columns of ``revisit_plan``) as gzip WARC files below ``path``.
 
     The text writer puts each record, byte for byte, between record ends, so a file is a
     valid archive and a lost task is simply written again.
@@ -117,7 +147,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         for batch in batches:
             for row in batch.to_pylist():
                 payload = (row["html"] or "").encode()
-                records = list(page_records(row["page_id"], row["url"], payload, row["refers_to"]))
+                records = list(page_records(row["page_id"], row["url"], payload, row["refers_to"], row["copy"], row["refers_copy"]))
                 yield pa.RecordBatch.from_pydict({"record": pa.array(records, pa.binary())})
 
     rows = pages.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
@@ -282,4 +312,4 @@ def payloads(logical: DataFrame) -> DataFrame:
 
 def page_number(column: str):
     """The page id in a record identifier."""
-    return F.regexp_extract(column, rf"^<{_PAGE}(-?\d+)>$", 1).cast("bigint")
+    return F.regexp_extract(column, rf"^<{_PAGE}(-?\d+)(?:#\d+)?>$", 1).cast("bigint")
