@@ -2,7 +2,8 @@
 
 Every pass hashes the vectors with BITS random hyperplanes and orders them by the bits. A
 vector is compared with the SPAN next ones in that order, and pairs with a cosine of at least
-THRESHOLD (in double precision) link. Links of all passes make the components.
+THRESHOLD (in double precision) link. Links of all passes make the components. Equal vectors
+pass as one, the smallest id, so that copies do not fill a window; they link with it.
 
 A window is bounded, a group of near-copies is not. The links of a vector are therefore
 counted in its whole component: with the angle of each member to the component's centre,
@@ -202,9 +203,14 @@ def link_vectors(
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row of ``vectors`` (vec_id, embedding)."""
     rows = materialize(usable(vectors), "vectors")
-    ranked = with_idx(pass_keys(rows, passes, seed), ["run", "dim", "key", "vec_id"], "rank")
-    ranked = ranked.select("run", "rank", "vec_id").join(rows, "vec_id")
-    links = materialize(window_links(ranked, span, threshold), "links")
+    once = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    once = materialize(once.withColumn("dim", F.size("v")), "once")
+    shared = once.where("copies > 1").select("v", F.col("vec_id").alias("a"))
+    same = rows.join(shared, "v").where("vec_id <> a").select("a", F.col("vec_id").alias("b"))
+    once = once.drop("copies")
+    ranked = with_idx(pass_keys(once, passes, seed), ["run", "dim", "key", "vec_id"], "rank")
+    ranked = ranked.select("run", "rank", "vec_id").join(once, "vec_id")
+    links = materialize(window_links(ranked, span, threshold).union(same), "links")
     release(vectors.sparkSession)
     labels = components(links)
     counts = count_links(rows, labels, threshold)
