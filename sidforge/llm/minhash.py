@@ -285,6 +285,8 @@ def _crossing_links(
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs`` (doc_id, text)."""
+    if percent < PERCENT:
+        raise ValueError(f"the bands find pairs from {PERCENT} percent on, not from {percent}")
     spark = docs.sparkSession
     rows = materialize(sketch(docs, width), "sketch")
     usable = rows.where("doc_id is not null and set_key is not null")
