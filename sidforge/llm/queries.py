@@ -8,14 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidforge.llm import bpe, compress, fingerprint, language, minhash, mixing, neighbours, repeats, secrets, warc
+from sidforge.llm import (
+    bpe, compress, fingerprint, language, lines, minhash, mixing, neighbours, repeats, secrets, warc, whiten,
+)
+from sidforge.llm.oracle import ORACLE  # noqa: F401
 from sidforge.llm.common import crc_remainder, table
 from sidforge.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-# DuckDB twins of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -103,3 +104,15 @@ def op9_neighbours(spark, sf_dir):
 @query
 def op10_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_repeated_lines(docs, ["doc_id"])
+    return kept.select("doc_id", "n_lines", "n_dropped", sha256("kept_text").alias("kept_sha256"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])
