@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sidforge.llm import (
-    bpe, compress, fingerprint, language, lines, minhash, mixing, neighbours, repeats, secrets, warc, whiten,
+    bpe, compress, dialogue, fingerprint, language, lines, minhash, mixing, neighbours, repeats, secrets, warc, whiten,
 )
 from sidforge.llm.oracle import ORACLE  # noqa: F401
 from sidforge.llm.common import crc_remainder, table
@@ -113,6 +113,12 @@ def op11_lines(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", sha256("kept_text").alias("kept_sha256"))
 
 
+@query
+def op12_conversations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.report(dialogue.repair(dialogue.damage(turns)), turns)
+
+
 @query
 def op13_whitening(spark, sf_dir):
     return whiten.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])

@@ -52,7 +52,7 @@ def test_random_vectors_with_bad_rows_and_copies(spark):
 
 def test_a_steep_spectrum_and_few_dimensions(spark):
     rng = np.random.default_rng(6)
-    x = rng.standard_normal((500, 20)) * np.geomspace(1e5, 1, 20)
+    x = rng.standard_normal((500, 20)) * np.geomspace(1e4, 0.5, 20)
     check(spark, [(i, v.tolist()) for i, v in enumerate(x)], 16, 1e-6)
     check(spark, [(i, v[:3].tolist()) for i, v in enumerate(x)], 3)
 
