@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gc
+import hashlib
+import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,61 +77,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _letter_codes() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15 | 5
+_KEY = b"words of documents"
+_KNOWN_WORDS = 100_000  # hashes kept at one time
+_BREAK = re.compile(b"[" + WHITE.encode() + b"]")
 
 
-_CODES = _letter_codes()
-_BASE = 0x9E3779B97F4A7C15 | 5
-_IS_WHITE = np.zeros(256, bool)
-_IS_WHITE[[ord(c) for c in WHITE]] = True
+def _word_hash(word: bytes) -> int:
+    """64 bits of a keyed cryptographic hash: no two words are known to share them."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+def _cut(text: bytes) -> Iterator[bytes]:
+    """Parts of about GROUP_CHARS bytes of a long text, cut at white space."""
+    start = 0
+    while len(text) - start > GROUP_CHARS and (gap := _BREAK.search(text, start + GROUP_CHARS)):
+        yield text[start : gap.start()]
+        start = gap.start()
+    yield text[start:] if start else text
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words between ASCII white space, as hashes.
 
-    Returns the offsets of each row's words and one 64-bit hash per word: a polynomial in
-    its bytes, taken from running sums over the whole column. A null text has no words.
+    Returns the offsets of each row's words and one 64-bit hash per word. A null text has no
+    words.
     """
-    column = pc.fill_null(texts, "").cast(pa.large_string())
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    size = int(bounds[-1] - bounds[0])
-    if size == 0:
-        return np.zeros(len(column) + 1, np.int64), np.zeros(0, np.uint64)
-    data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-    rows = bounds - bounds[0]
-    inside = ~_IS_WHITE[data]
-    fresh = np.zeros(size + 1, bool)  # a word cannot reach over these places
-    fresh[rows] = True
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1] | fresh[1:size]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | fresh[1:size]
-    first, last = np.flatnonzero(starts), np.flatnonzero(ends)
-    hashed = np.zeros(len(first), np.uint64)
-    done = 0
-    while done < len(first):
-        # Words of one block; a longer word is a block of its own.
-        low = first[done]
-        upto = max(np.searchsorted(last, low + GROUP_CHARS), done + 1)
-        f, e = first[done:upto] - low, last[done:upto] - low
-        up, down = _powers(1 << max(16, int(e[-1]).bit_length()))
-        codes = _CODES[data[low : low + e[-1] + 1]] * up[: e[-1] + 1]
-        sums = np.cumsum(codes)
-        hashed[done:upto] = (sums[e] - sums[f] + codes[f]) * down[f]
-        done = upto
-    return np.searchsorted(first, rows), mix64(hashed)
+    known: dict[bytes, int] = {}
+    counts, parts = [0], [np.zeros(0, np.uint64)]
+    for text in texts.cast(pa.large_binary()):
+        total = 0
+        for part in _cut(text.as_py() or b""):
+            words = part.split()  # of bytes: ASCII white space
+            if len(known) > _KNOWN_WORDS:
+                known.clear()
+            known.update((w, _word_hash(w)) for w in set(words).difference(known))
+            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            total += len(words)
+        counts.append(total)
+    return np.cumsum(counts), np.concatenate(parts)
 
 
 def window_hashes(words: np.ndarray, width: int, factor: int = _BASE) -> np.ndarray:

@@ -9,8 +9,8 @@ windows with one anchor form a segment. Equal windows have equal anchors, so the
 splits into blocks by anchor: a block indexes all segments with that anchor, and a document
 has to be factored only against the blocks of its own anchors. The parse is greedy: a segment
 that equals one of an earlier document is a factor as a whole. Where segments of a block
-differ, factors end, and the windows there are looked up one by one. Together this decides
-every window exactly (up to equal 64-bit hashes).
+differ, factors end, and the windows there are looked up one by one. Together this decides every
+window exactly, up to equal keyed hashes of 128 bits.
 
 Anchors that occur in one document only are dropped after the first count, before anything
 wider is shuffled. All look-ups are joins on hashed keys: a passage that a third of the
@@ -36,6 +36,7 @@ WIDTH = 13
 ANCHOR = 6
 _LAST = (1 << 63) - 1  # stands for a null id
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SECOND = 0xD1342543DE82EF95  # factor of a second, independent hash of a window
 
 
 class Windows:
@@ -51,6 +52,7 @@ class Windows:
         self.at = np.flatnonzero(row[: len(every)] == row[width - 1 :][: len(every)])
         self.row = row[self.at]
         self.hash = every[self.at]
+        self.check = window_hashes(words, width, _SECOND)[self.at].view(np.int64)
         grams = mix64(window_hashes(words, anchor))
         best = grams[self.at]
         place = self.at.copy()
@@ -100,7 +102,7 @@ def _listed(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def _boundary_windows(keyed: DataFrame, wanted: DataFrame, width: int, anchor: int) -> DataFrame:
-    """``(doc, window)`` of the segments in ``wanted`` (doc, parts)."""
+    """``(doc, window, check)`` of the segments in ``wanted`` (doc, parts)."""
 
     def build(batches):
         for part in text_groups(batches):
@@ -110,10 +112,12 @@ def _boundary_windows(keyed: DataFrame, wanted: DataFrame, width: int, anchor: i
             ours = _member(w.segment_row, w.segment, row, lists.flatten().to_numpy())
             chosen = np.repeat(ours, w.count)
             doc = part.column("doc").to_numpy()[w.row[chosen]]
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc), "window": pa.array(w.hash[chosen])})
+            yield pa.RecordBatch.from_pydict(
+                {"doc": pa.array(doc), "window": pa.array(w.hash[chosen]), "check": pa.array(w.check[chosen])}
+            )
 
     rows = keyed.join(wanted, "doc").select("doc", "text", "parts")
-    return rows.mapInArrow(build, "doc bigint, window bigint").distinct()
+    return rows.mapInArrow(build, "doc bigint, window bigint, check bigint").distinct()
 
 
 def _member(row: np.ndarray, value: np.ndarray, set_row: np.ndarray, set_value: np.ndarray) -> np.ndarray:
@@ -160,9 +164,9 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> D
     edges = materialize(_listed(edges, "segment", "parts"), "edges")
     single = materialize(_boundary_windows(keyed, edges, width, anchor), "windows")
     release(spark)
-    seen = single.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("high"))
-    seen = seen.where("first < high").select("window", "first")
-    later = single.join(seen, "window").where("doc > first").select("doc", "window")
+    seen = single.groupBy("window", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("high"))
+    seen = seen.where("first < high").select("window", "check", "first")
+    later = single.join(seen, ["window", "check"]).where("doc > first").select("doc", "window")
     windows = _listed(later, "window", "windows")
     return materialize(parts.join(windows, "doc", "full"), "repeats")
 
