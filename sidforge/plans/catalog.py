@@ -106,6 +106,50 @@ def scan_partition(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def drifting_items(spark: SparkSession, sf_dir: str) -> str:
+    """Raw items of one partition whose files disagree: columns come late, and one is a number,
+    a text and a fraction in turn."""
+    root = scratch_path(spark, "drift")
+    raw = views.items(spark, sf_dir).drop("dt", "country_code")
+    number = F.col("item_id").cast("int")
+    kinds = [
+        raw.select("idx", "item_id", "title", "i_lng", "i_lag"),
+        raw.select("idx", number.alias("item_id"), "title", "brand", number.alias("shop_id"), "i_lag",
+                   F.expr("try_cast(i_lng as double) / 1e6").alias("i_lng")),
+        raw.select("idx", number.cast("bigint").alias("item_id"), (number / F.lit(3e9)).alias("sence_id"), "brand",
+                   number.cast("bigint").alias("shop_id"), "i_lng", "i_lag", (number % 2 == 0).alias("description")),
+    ]
+    for i, rows in enumerate(kinds):
+        path = f"{root}/written/{i}"
+        rows.where(F.col("idx") % len(kinds) == i).write.parquet(path)
+        # A file's name begins with its kind's number, so rows are in the order of kinds.
+        spark.read.parquet(path).coalesce(1).write.mode("append").parquet(f"{root}/items/dt=20240101/country_code=MX")
+    return root
+
+
+@query
+def scan_drift(spark, sf_dir):
+    root = drifting_items(spark, sf_dir)
+    found = item_source.scan_items(spark, root, "items", "20240101", "MX")
+    fields = ["item_id", "sence_id", "title", "description", "brand", "shop_id", "i_lng", "i_lag", "geohash"]
+    text = item_source.stringify(item_source.select_fields(found, ["idx", *fields]), fields)
+    return text
+
+
+@query
+def stringify_floats(spark, sf_dir):
+    lines = views.read(spark, sf_dir, "lineitem")
+    factors = F.array(*[F.lit(float(f"1e{k}")) for k in range(-12, 19)])
+    factor = F.element_at(factors, ((F.col("l_orderkey") + F.col("l_linenumber")) % 31 + 1).cast("int"))
+    price = F.col("l_extendedprice").cast("double")
+    rows = lines.select(
+        "l_orderkey", "l_linenumber", (price * factor).alias("large"), (-price / factor / 7).alias("small"),
+        F.col("l_discount").cast("float").alias("narrow"), (F.col("l_tax") > 0.04).alias("taxed"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_quantity").cast("double")).alias("quantity"),
+    )
+    return item_source.stringify(rows, ["large", "small", "narrow", "taxed", "quantity"])
+
+
 @query
 def project_tolerant(spark, sf_dir):
     fields = ["idx", *item_source.ITEM_FIELDS, "category"]

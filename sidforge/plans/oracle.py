@@ -169,6 +169,35 @@ ORACLE["project_tolerant"] = (
     f"select idx, {', '.join(PLAIN)}, geohash, true as category_missing "
     "from raw_items join hashes using (idx)"
 )
+CTES["drift"] = """
+select idx, item_id,
+  case idx % 3 when 2 then (item_id::int / 3e9::double)::varchar end as sence_id,
+  case idx % 3 when 2 then null else title end as title,
+  case when idx % 3 = 2 then if(item_id::int % 2 = 0, 'True', 'False') end as description,
+  case idx % 3 when 0 then null else brand end as brand,
+  case idx % 3 when 0 then null else item_id::int::varchar end as shop_id,
+  case idx % 3 when 1 then (try_cast(trim(i_lng) as double) / 1e6::double)::varchar else i_lng end as i_lng,
+  i_lag
+from raw_items
+"""
+CTES["drift_points"] = (
+    "select *, try_cast(trim(i_lng) as double) as lng, try_cast(trim(i_lag) as double) as lat from drift"
+)
+ORACLE["scan_drift"] = (
+    "select idx, " + ", ".join(f"coalesce({f}, '') as {f}" for f in PLAIN)
+    + f", coalesce({geohash(6)}, '') as geohash from drift_points"
+)
+ORACLE["stringify_floats"] = """
+with priced as (
+    select *, l_extendedprice::double as price,
+        ('1e' || ((l_orderkey + l_linenumber) % 31 - 12))::double as factor
+    from lineitem)
+select l_orderkey, l_linenumber, (price * factor)::varchar as large,
+    (-price / factor / 7::double)::varchar as small, l_discount::float::double::varchar as narrow,
+    if(l_tax > 0.04, 'True', 'False') as taxed,
+    coalesce(case when l_linenumber <> 3 then l_quantity::double::varchar end, '') as quantity
+from priced
+"""
 ORACLE["take_first_n"] = (
     "select idx, idx as key, item_id from "
     "(select * from raw_items order by idx limit 700) "
