@@ -88,7 +88,8 @@ def _spelled(parts: Column) -> Column:
 def float_text(value: Column) -> Column:
     """Text of a double: ``1e-05``, ``12345678.5``, ``1e+16``, ``nan``, ``-inf``, ``-0.0``.
 
-    Below 2.2e-308 it may have a digit more than it needs.
+    Of two forms of 16 digits that read back it may be the one farther off, and below 2.2e-308
+    it may have a digit more than it needs.
     """
     value = value.cast("double")
     form = _once(value, _shortest)
