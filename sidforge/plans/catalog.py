@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +13,10 @@ from sidforge.functions.geo import with_geohash
 from sidforge.functions.text import item_text
 from sidforge.functions.tokens import code_columns, parse_code, render_tokens, sid
 from sidforge.functions.vectors import norm, sanitize
-from sidforge.operators import balance, collisions, embed, fit, identity, joins, merges
+from sidforge.operators import balance, collisions, decoder, embed, fit, identity, joins, kmeans, merges
 from sidforge.operators import project, quantize, report, sampling, selection
 from sidforge.plans import build, views
+from sidforge.plans.views import CODES, LEVELS
 from sidforge.session import materialize, scratch_path
 from sidforge.sources import items as item_source
 from sidforge.sources import model as models
@@ -469,6 +471,74 @@ def fit_residual_quantizer(spark, sf_dir):
     return quantize.quant_loss(table, book)
 
 
+@query
+def fit_codebook_given(spark, sf_dir):
+    """Two restarts from given centres, three updates side by side, and what each costs."""
+    points = kmeans.distinct_points(views.item_vectors(spark, sf_dir))
+    starts = np.stack(quantize.fetch_levels(views.codebook(spark, sf_dir).where("level < 2")))
+    fitted = kmeans.fit_centres(points, CODES, 3, len(starts), 0, starts, tolerance=0.0)
+    rows = [
+        (restart, code, pos, float(value), float(cost))
+        for restart, (words, cost) in enumerate(zip(fitted.centres, fitted.costs))
+        for code, word in enumerate(words)
+        for pos, value in enumerate(word)
+    ]
+    table = spark.createDataFrame(rows, "restart int, code int, pos int, value double, cost double")
+    return table.withColumns({"value": r6("value"), "cost": r6("cost")})
+
+
+@query
+def fit_residual_given(spark, sf_dir):
+    """All levels from given centres, two updates each, and the loss that is left."""
+    table = views.item_vectors(spark, sf_dir)
+    start = views.codebook(spark, sf_dir)
+    book = fit.fit_rq(table, [CODES] * LEVELS, iters=2, start=start, tolerance=0.0)
+    return quantize.quant_loss(table, book).select("level", r6("mse").alias("mse"))
+
+
+@query
+def fit_balanced(spark, sf_dir):
+    """Two steps from a given start, the first level balanced, the second one nearest."""
+    table = views.vectors(spark, sf_dir).withColumn("batch", F.expr("idx div 128"))
+    start = views.codebook(spark, sf_dir).where("level < 2")
+    book = fit.fit_balanced(table, start, [0.05, 0.0], 2, iters=3, batch="batch")
+    return long_form(book, ["level", "code"], "centroid")
+
+
+@query
+def fit_decoder(spark, sf_dir):
+    """The decoder's errors are orthogonal to its inputs, which marks the least squares."""
+    book = views.codebook(spark, sf_dir)
+    coded = quantize.assign_codes(views.item_vectors(spark, sf_dir), book, keep=["idx", "embedding"])
+    coded = materialize(coded, "coded")
+    layers = decoder.fit_decoder(coded, book)
+    met = decoder.decode_projected(quantize.decode(coded, book, "summed"), book, layers)
+    errors = F.expr("zip_with(embedding, reconstruction, (x, y) -> double(x) - y)")
+    met = met.select("summed", errors.alias("gap"))
+    _, cross, rows = decoder.normal_equations(met, "summed", "gap")
+    table = [(place, rows, float(np.abs(products).max() / rows)) for place, products in enumerate(cross)]
+    return spark.createDataFrame(table, "place int, n bigint, largest double").withColumn("largest", r6("largest"))
+
+
+@query
+def decode_projected(spark, sf_dir):
+    """Behind one level a decoder can give each code any vector: the mean of its vectors."""
+    book = views.codebook(spark, sf_dir).where("level = 0")
+    table = materialize(views.item_vectors(spark, sf_dir), "vectors")
+    model = models.Quantizer(book).with_decoder(table)
+    return long_form(model.reconstruct(model.assign(table, keep=["idx"])), ["idx"], "reconstruction")
+
+
+@query
+def reconstruction_loss_decoded(spark, sf_dir):
+    """Loss in the space of the inputs, behind a decoder."""
+    book = views.codebook(spark, sf_dir).where("level = 0")
+    table = materialize(views.item_vectors(spark, sf_dir), "vectors")
+    model = models.Quantizer(book).with_decoder(table)
+    both = model.loss(table, kind="mse").unionByName(model.loss(table, kind="l1"))
+    return both.select("kind", r6("recon").alias("recon"))
+
+
 @query
 def uniform_codebook(spark, sf_dir):
     book = fit.uniform_codebook(spark, 16, DIM)

@@ -405,6 +405,70 @@ CTES["near_even"] = nearest("vec", "x", "vec_id", 0, "even")
 ORACLE["uniform_codebook"] = (
     "select vec_id as idx, code, round(d, 6) as distance from near_even"
 )
+AVERAGE = "list_value(" + ", ".join("avg({v}[%d])" % i for i in range(1, DIM + 1)) + ")"
+
+
+def move_words(book: str, chosen: str, level: int) -> str:
+    """Codewords of a level after an update; ``chosen`` has a code and a mean for each code taken."""
+    return (
+        f"select {level} as level, b.code, coalesce(m, c) as c from {book} b left join ({chosen}) using (code) "
+        f"where b.level = {level}"
+    )
+
+
+def update_chain(prefix: str, source: str, vector: str, level: int, steps: int) -> str:
+    """k-means updates over item vectors from the words of ``cb``; names the last codebook."""
+    book = "cb"
+    for step in range(steps):
+        near, new = f"{prefix}n{step}", f"{prefix}b{step}"
+        CTES[near] = nearest(source, vector, "vec_id", level, book)
+        mean = AVERAGE.format(v=f"s.{vector}")
+        chosen = (
+            f"select n.code, {mean} as m from item_vec join {near} n using (vec_id) "
+            f"join {source} s using (vec_id) group by n.code"
+        )
+        CTES[new] = move_words(book, chosen, level)
+        book = new
+    return book
+
+
+GIVEN = []
+for level in (0, 1):
+    last = update_chain(f"km{level}", "vec", "x", level, 3)
+    CTES[f"km{level}n"] = nearest("vec", "x", "vec_id", level, last)
+    GIVEN.append(
+        f"select level::int as restart, code, (p - 1)::int as pos, round(c[p], 6) as value, "
+        f"(select round(sum(d), 6) from item_vec join km{level}n using (vec_id)) as cost "
+        f"from {last}, range(1, {DIM} + 1) as r(p)"
+    )
+ORACLE["fit_codebook_given"] = " union all ".join(GIVEN)
+
+RESIDUAL, source, vector = [], "vec", "x"
+for level in range(LEVELS):
+    last = update_chain(f"rq{level}", source, vector, level, 2)
+    CTES[f"rq{level}n"] = nearest(source, vector, "vec_id", level, last)
+    source, vector = f"rq{level}n", "rest"
+    RESIDUAL.append(
+        f"select {level} as level, round(avg(d) / {DIM}, 6) as mse from item_vec join rq{level}n using (vec_id)"
+    )
+ORACLE["fit_residual_given"] = " union all ".join(RESIDUAL)
+
+ORACLE["fit_decoder"] = (
+    f"select place::int as place, (select count(*) from item_vec) as n, 0.0::double as largest "
+    f"from range({DIM} + 1) as r(place)"
+)
+CTES["code_mean"] = (
+    "select code, " + AVERAGE.format(v="x") + " as m from item_vec join near0 using (vec_id) "
+    "join vec using (vec_id) group by code"
+)
+CTES["decoded"] = "select idx, vec_id, m from item_vec join near0 using (vec_id) join code_mean using (code)"
+ORACLE["decode_projected"] = long_form("idx", "m", "decoded")
+ORACLE["reconstruction_loss_decoded"] = (
+    f"select 'mse' as kind, round(avg({GAP.format(a='x', b='m')} / {DIM}), 6) as recon "
+    "from decoded join vec using (vec_id) union all "
+    f"select 'l1', round(avg(list_sum(list_transform(list_zip(x, m), lambda z: abs(z[1] - z[2]))) / {DIM}), 6) "
+    "from decoded join vec using (vec_id)"
+)
 ORACLE["model_tables"] = "select * from codes"
 ORACLE["stream_assign"] = "select * from codes"
 
@@ -705,8 +769,36 @@ ORACLE["final_table"] = (
     f"join k_w{MERGES} on seq = [code_0, code_1, code_2]"
 )
 
+def balanced_fit(steps: int) -> str:
+    """Two levels refined in turn, the first one balanced."""
+    out, book = [], "cb"
+    for s in range(steps):
+        gap = GAP.format(a="s.x", b="b.c")
+        out.append(
+            f"fd{s} as materialized (select s.vec_id, b.code, {gap} as d from vec s, {book} b where b.level = 0)"
+        )
+        out += sinkhorn_steps(f"fs{s}", f"fd{s}", "vec_id // 128", 0.05, 3)
+        mean = f"select code, {AVERAGE.format(v='x')} as m from vec join fs{s}_pick using (vec_id) group by code"
+        out.append(f"fa{s} as materialized ({move_words(book, mean, 0)})")
+        out.append(
+            f"fl{s} as materialized (select vec_id, list_transform(list_zip(x, c), lambda z: z[1] - z[2]) as rest "
+            f"from vec join fs{s}_pick using (vec_id) join fa{s} using (code))"
+        )
+        out.append(f"fn{s} as materialized ({nearest(f'fl{s}', 'rest', 'vec_id', 1, book)})")
+        mean = (
+            f"select code, {AVERAGE.format(v='l.rest')} as m from fl{s} l join fn{s} using (vec_id) group by code"
+        )
+        out.append(f"fb{s} as materialized (select * from fa{s} union all {move_words(book, mean, 1)})")
+        book = f"fb{s}"
+    body = (
+        f"select level, code, (p - 1)::int as pos, round(c[p], 6) as value from {book}, range(1, {DIM} + 1) as r(p)"
+    )
+    return with_steps("select vec, cb", out, body)
+
+
 SINKHORN = {
     "sinkhorn_assign": sinkhorn("vec_id // 128", 0.05, 5),
     "sinkhorn_assign_spread": sinkhorn("0", 0.05, 5),
     "residual_quantize_balanced": balanced_codes(),
+    "fit_balanced": balanced_fit(2),
 }
