@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sidforge.functions.vectors import sanitize
 from sidforge.operators import kernels as k
 from sidforge.operators import quantize
 from sidforge.operators.quantize import _arrow_map, _column, _double_list
 from sidforge.session import materialize
+from sidforge.sources.vectors import valid_shape
 
 LAYER_SCHEMA = "layer int, unit int, weights array<double>, bias double"
 # Added to the variance in batch normalisation.
@@ -123,10 +125,12 @@ def fit_projection(df: DataFrame, e_dim: int, vec: str = "embedding") -> DataFra
     """One-layer projection with the least squared reconstruction error.
 
     That is PCA: Spark sums the covariance over all rows, and only the
-    width x width matrix reaches the driver. The bias centres the data.
+    width x width matrix reaches the driver. The bias centres the data. Null and ragged vectors
+    stop the fit; NaN, infinite and null elements count as 0.
     """
     spark = df.sparkSession
-    table = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("_x"))
+    valid_shape(df, vec)
+    table = df.select(array_to_vector(sanitize(vec).cast("array<double>")).alias("_x"))
     model = PCA(k=e_dim, inputCol="_x", outputCol="_y").fit(table)
     axes = model.pc.toArray().T
     mean = table.agg(Summarizer.mean(F.col("_x"))).first()[0].toArray()
@@ -138,12 +142,12 @@ def fit_projection(df: DataFrame, e_dim: int, vec: str = "embedding") -> DataFra
 
 def explained_variance(df: DataFrame, layers: DataFrame, vec: str = "embedding") -> DataFrame:
     """Variance of each projected coordinate and its share of the total."""
-    projected = mlp_project(df.select(vec), layers, None, vec, "latent")
-    elements = projected.select(
-        F.posexplode(F.transform(F.col(vec), lambda x: x.cast("double"))).alias("place", "x")
-    )
-    spread = elements.groupBy("place").agg(F.var_pop("x").alias("v"))
-    whole = spread.agg(F.sum("v")).first()[0]
-    coordinates = projected.select(F.posexplode("latent").alias("component", "y"))
-    kept = coordinates.groupBy("component").agg(F.var_pop("y").alias("variance"))
-    return kept.withColumn("share", F.col("variance") / F.lit(whole))
+    rows = df.select(sanitize(vec).cast("array<double>").alias("_x"))
+    projected = mlp_project(rows, layers, None, "_x", "latent")
+    spread = [Summarizer.variance(array_to_vector(c)).alias(c) for c in ("_x", "latent")]
+    found = projected.agg(F.count("*").alias("n"), *spread).first()  # two vectors of variances
+    to_population = (found.n - 1) / found.n
+    whole = float(found["_x"].toArray().sum()) * to_population
+    rows = [(i, float(v) * to_population) for i, v in enumerate(found.latent.toArray())]
+    kept = df.sparkSession.createDataFrame(rows, "component int, variance double")
+    return kept.withColumn("share", F.try_divide("variance", F.lit(whole)))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from sidforge.functions.tokens import code_columns, code_token, parse_code
 from sidforge.functions.vectors import norm
 from sidforge.operators.collisions import bucket_sizes, size_histogram
-from sidforge.operators.identity import with_idx
+from sidforge.operators.order import quantiles
 from sidforge.operators.sampling import row_sample
 from sidforge.operators.skew import join_counted
+from sidforge.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -153,24 +154,23 @@ def norm_stats(
 ) -> DataFrame:
     """L2 norms: rows, extremes, median, mean, population deviation.
 
-    All rows unless ``sample_n`` asks for a row sample. The median is the mean of the middle
-    rows of a range sort, so no task holds all norms. A null vector counts as a row only.
+    All rows unless ``sample_n`` asks for a row sample. The median is selected by counting
+    digits, so no norm is sorted or shuffled. A null vector counts as a row only.
     """
     table = df.select(idx, vec)
     if sample_n:
         table = row_sample(table, sample_n, seed, idx, False)
-    length = with_idx(table.select(norm(vec).alias("x")), ["x"], "_place")
-    size = length.agg(F.count("*").alias("n"), F.count("x").alias("known")).first()
-    nulls = size.n - size.known  # sorted first
-    middle = [nulls + max(size.known - 1, 0) // 2, nulls + size.known // 2]
-    return length.agg(
+    length = materialize(table.select(norm(vec).alias("x")), "norms")
+    median = quantiles(length, [0.5])[0]
+    stats = length.agg(
         F.count("*").alias("n"),
         F.min("x").alias("min_norm"),
-        F.avg(F.when(F.col("_place").isin(middle), F.col("x"))).alias("median_norm"),
+        F.lit(median).cast("double").alias("median_norm"),
         F.avg("x").alias("mean_norm"),
         F.max("x").alias("max_norm"),
         F.stddev_pop("x").alias("std_norm"),
     )
+    return stats
 
 
 def dup_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:

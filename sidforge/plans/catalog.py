@@ -619,6 +619,14 @@ def is_collision_free(spark, sf_dir):
     )
 
 
+@query
+def resolve_collisions_given(spark, sf_dir):
+    """Two rounds of repair."""
+    return collisions.resolve_collisions(
+        views.item_vectors(spark, sf_dir), views.codebook(spark, sf_dir), rounds=2, eps=0.05, iters=4
+    )
+
+
 @query
 def resolve_collisions(spark, sf_dir):
     return collisions.resolve_collisions(

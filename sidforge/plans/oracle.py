@@ -10,6 +10,7 @@ import re
 from sidforge.functions.geo import ALPHABET
 from sidforge.functions.text import WHITE_SPACE
 from sidforge.operators.joins import FINAL_FIELDS
+from sidforge.operators.merges import MIN_COUNT, V_MEM
 from sidforge.plans.catalog import DIM, MERGE_MIN, MERGES
 from sidforge.plans.views import CODES, DIRTY_SQL, GAINS, ITEMS_SQL, LEVELS
 from sidforge.sources.items import ITEM_FIELDS
@@ -747,6 +748,20 @@ CTES["spelled"] = (
     "from spelled s join rules r on r.rank = s.rank + 1"
 )
 ORACLE["expand_merges"] = "select sym, expansion from spelled"
+# All rounds of the default limits: each round's corpus is the next one's input, and the
+# recursion ends when no pair is frequent enough.
+CTES["default_rounds"] = (
+    "select 0 as round, seq, seq as cur, n, null::varchar as a, null::varchar as b from seqs union all "
+    f"select w.round + 1, w.seq, coalesce({merged('w.cur', 't.a', 't.b', chr(39) + '<m_' + chr(39) + ' || (w.round + 1) || ' + chr(39) + '>' + chr(39))}, w.cur), "
+    f"w.n, t.a, t.b from default_rounds w, ({best(pairs('default_rounds', 'cur'), MIN_COUNT)}) t where w.round < {V_MEM}"
+)
+CTES["default_rules"] = (
+    "select distinct round - 1 as rank, a, b, '<m_' || round || '>' as sym from default_rounds where round > 0"
+)
+CTES["default_spelled"] = CTES["spelled"].replace("spelled", "default_spelled").replace("rules", "default_rules")
+ORACLE["learn_merges_default"] = (
+    "select rank::int as rank, a, b, sym, expansion from default_spelled join default_rules using (rank, sym)"
+)
 LAST = f"m_w{MERGES}"
 ORACLE["apply_merges"] = (
     f"select array_to_string(seq, '') as seq, array_to_string(produced, ' ') as produced from {LAST}"
@@ -796,9 +811,42 @@ def balanced_fit(steps: int) -> str:
     return with_steps("select vec, cb", out, body)
 
 
+def repaired(rounds: int, eps: float, iters: int) -> str:
+    """Rounds of repair: every shared tuple is a batch over the last level's codes."""
+    last = LEVELS - 1
+    names = ", ".join(f"code_{i}" for i in range(last))
+    out = [
+        "e0 as materialized (select idx, vec_id, " + names + f", code_{last} as code "
+        "from item_vec join vec_codes using (vec_id))",
+        f"egap as materialized (select vec_id, cb.code, {GAP.format(a=f'rest{last - 1}', b='cb.c')} as d "
+        f"from vec_codes, cb where cb.level = {last})",
+    ]
+    for r in range(rounds):
+        out.append(
+            f"em{r} as materialized (select * from (select *, count(*) over (partition by {names}, code) as held, "
+            f"concat_ws('-', {names}, code) as grp from e{r}) where held > 1)"
+        )
+        out.append(
+            f"ed{r} as materialized (select m.idx as vec_id, m.grp, g.code, g.d from em{r} m join egap g using (vec_id))"
+        )
+        out += sinkhorn_steps(f"es{r}", f"ed{r}", "grp", eps, iters)[:-1]
+        # Weights that are equal but for rounding count as equal.
+        out.append(
+            f"ep{r} as materialized (select vec_id as idx, min(code) as moved from (select *, max(q) over "
+            f"(partition by vec_id) as top from es{r}_q{iters}) where q >= top * (1 - 1e-9) group by vec_id)"
+        )
+        out.append(
+            f"e{r + 1} as materialized (select idx, vec_id, {names}, coalesce(moved, code) as code "
+            f"from e{r} left join ep{r} using (idx))"
+        )
+    body = f"select idx, {names}, code::int as code_{last} from e{rounds}"
+    return with_steps("select vec_codes, item_vec, cb", out, body)
+
+
 SINKHORN = {
     "sinkhorn_assign": sinkhorn("vec_id // 128", 0.05, 5),
     "sinkhorn_assign_spread": sinkhorn("0", 0.05, 5),
     "residual_quantize_balanced": balanced_codes(),
     "fit_balanced": balanced_fit(2),
+    "resolve_collisions_given": repaired(2, 0.05, 4),
 }

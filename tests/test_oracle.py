@@ -10,7 +10,6 @@ QUERIES = catalog.QUERIES
 ORACLE = oracle.oracle_sql()
 NO_TWIN = {
     "fit_projection", "fit_codebook", "fit_residual_quantizer", "resolve_collisions",
-    "learn_merges_default",
 }
 
 
