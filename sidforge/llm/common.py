@@ -17,7 +17,7 @@ from sidforge.session import discard, materialize
 
 # Rows of a batch are worked on in groups of about this many characters, so that the
 # arrays of a task do not grow with the batch.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

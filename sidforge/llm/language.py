@@ -28,7 +28,7 @@ UNKNOWN = "und"
 TRAIN_ROWS = 5000  # labelled texts of one language, on average
 _POINTS = 0x110000  # code points
 _TABLE = 1 << 22  # trigrams that a table numbers; more are sorted
-_BLOCK = 8192  # trigrams whose vectors exist at one time
+_BLOCK = 4096  # trigrams whose vectors exist at one time
 _ROWS = 256  # texts counted at one time
 
 
