@@ -5,6 +5,12 @@ vector is compared with the SPAN next ones in that order, and pairs with a cosin
 THRESHOLD (in double precision) link. Links of all passes make the components. Equal vectors
 pass as one, the smallest id, so that copies do not fill a window; they link with it.
 
+The number of passes follows from the number of distinct vectors: two vectors at the threshold
+are in one window of a pass when about the first log2(rows / SPAN) bits agree, each with
+probability 1 - angle / pi. As many passes are made as find such a pair with probability RECALL
+(17 for 50,000 rows, 29 for a million, 62 for a hundred million). Closer pairs are found more
+often. This holds for vectors that are spread evenly; an empty table gives no rows.
+
 A window is bounded, a group of near-copies is not. The links of a vector are therefore
 counted in its whole component: with the angle of each member to the component's centre,
 members whose angle and the largest angle add up to no more than the threshold's angle are
@@ -30,7 +36,7 @@ from sidforge.operators.identity import with_idx
 from sidforge.session import discard, materialize
 
 THRESHOLD = 0.95
-PASSES = 12
+RECALL = 0.999
 BITS = 63
 SPAN = 48
 BLOCK = 4096  # ranks that one task searches
@@ -38,6 +44,13 @@ MEMBERS = 2048  # members of a component compared with as many in one task
 _SLACK = 1e-7  # radians; covers the rounding of angles
 
 
+def passes_for(rows: int, span: int = SPAN, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Passes after which a pair at the threshold has met with probability ``recall``."""
+    bits = math.log2(max(1.0, rows / span))
+    met = (1 - math.acos(threshold) / math.pi) ** bits
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     """Rows padded with zeros to ``width``, in double precision."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -199,7 +212,7 @@ def count_links(rows: DataFrame, labels: DataFrame, threshold: float) -> DataFra
 
 
 def link_vectors(
-    vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, span: int = SPAN, seed: int = 9
+    vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, span: int = SPAN, seed: int = 9
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row of ``vectors`` (vec_id, embedding)."""
     rows = materialize(usable(vectors), "vectors")
@@ -208,6 +221,7 @@ def link_vectors(
     shared = once.where("copies > 1").select("v", F.col("vec_id").alias("a"))
     same = rows.join(shared, "v").where("vec_id <> a").select("a", F.col("vec_id").alias("b"))
     once = once.drop("copies")
+    passes = passes or passes_for(once.count(), span, threshold)
     ranked = with_idx(pass_keys(once, passes, seed), ["run", "dim", "key", "vec_id"], "rank")
     ranked = ranked.select("run", "rank", "vec_id").join(once, "vec_id")
     links = materialize(window_links(ranked, span, threshold).union(same), "links")
