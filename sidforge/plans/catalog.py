@@ -6,14 +6,14 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sidforge.functions.geo import with_geohash
 from sidforge.functions.text import item_text
 from sidforge.functions.tokens import code_columns, parse_code, render_tokens, sid
 from sidforge.functions.vectors import norm, sanitize
-from sidforge.operators import balance, collisions, decoder, embed, fit, identity, joins, kmeans, merges
+from sidforge.operators import balance, collisions, decoder, embed, fit, growing, identity, joins, kmeans, merges
 from sidforge.operators import project, quantize, report, sampling, selection
 from sidforge.plans import build, views
 from sidforge.plans.views import CODES, LEVELS
@@ -23,6 +23,7 @@ from sidforge.sources import model as models
 from sidforge.sources import sinks
 from sidforge.sources import vectors as vector_source
 from sidforge.streaming.assign import stream_assign
+from sidforge.streaming.assign import stream_index as grow_from_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,6 +303,16 @@ def sanitize_counts(spark, sf_dir):
     return vector_source.sanitize_counts(views.dirty_vectors(spark, sf_dir))
 
 
+@query
+def observed_vectors(spark, sf_dir):
+    """Figures of the vectors, counted by the job that codes them."""
+    seen = Observation()
+    dirty = vector_source.observe_vectors(views.dirty_vectors(spark, sf_dir), seen)
+    materialize(quantize.assign_codes(dirty, views.codebook(spark, sf_dir)), "codes")
+    kinds = "rows bigint, nulls bigint, min_dim int, max_dim int, nan_values bigint, inf_values bigint"
+    return spark.createDataFrame([tuple(seen.get[c.split()[0]] for c in kinds.split(", "))], kinds)
+
+
 @query
 def vector_stats(spark, sf_dir):
     stats = vector_source.vector_stats(views.item_vectors(spark, sf_dir))
@@ -609,6 +620,17 @@ def dedup_rank(spark, sf_dir):
     return collisions.dedup_rank(int_codes(spark, sf_dir))
 
 
+@query
+def index_in_batches(spark, sf_dir):
+    """Three batches, the second one added twice: the rows are those of one run."""
+    codes = int_codes(spark, sf_dir)
+    root = scratch_path(spark, "growing")
+    size = codes.count() // 3 + 1
+    for number in (0, 1, 1, 2):
+        growing.add_batch(codes.where(F.expr(f"(idx - 1) div {size}") == number), root, number)
+    return growing.read_index(spark, root).drop("batch")
+
+
 @query
 def is_collision_free(spark, sf_dir):
     codes = collisions.dedup_rank(int_codes(spark, sf_dir))
@@ -809,6 +831,39 @@ def final_table(spark, sf_dir):
 # --- streaming ----------------------------------------------------------------
 
 
+@query
+def stream_index(spark, sf_dir):
+    """Ranks of an index that files grow: every tuple's ranks are 1 to its number of items."""
+    source = scratch_path(spark, "arriving")
+    views.item_vectors(spark, sf_dir).repartition(6, "idx").write.parquet(source)
+    index = grow_from_files(
+        spark, source, scratch_path(spark, "stream-index"), models.Quantizer(views.codebook(spark, sf_dir)), DIM,
+        scratch_path(spark, "index-state"), files_per_trigger=2,
+    )
+    return index.groupBy("code_0", "code_1", "code_2").agg(
+        F.count("*").alias("items"), F.min("code_3").alias("low"), F.max("code_3").alias("high"),
+        F.count_distinct("code_3").alias("ranks"), F.sum("idx").alias("idx_sum"),
+    )
+
+
+@query
+def stream_observed(spark, sf_dir):
+    """What a stream's batches held, from its progress reports."""
+    source = scratch_path(spark, "arriving")
+    dirty = views.dirty_vectors(spark, sf_dir).withColumnRenamed("vec_id", "idx")
+    dirty.repartition(6, "idx").write.parquet(source)
+    seen: list[dict] = []
+    stream_assign(
+        spark, source, scratch_path(spark, "streamed"), models.Quantizer(views.codebook(spark, sf_dir)), DIM,
+        scratch_path(spark, "stream-state"), files_per_trigger=2, metrics=seen,
+    )
+    batches = spark.createDataFrame(
+        [(b["rows"], b["nulls"], b["nan_values"], b["inf_values"]) for b in seen],
+        "rows bigint, nulls bigint, nan_values bigint, inf_values bigint",
+    )
+    return batches.agg(*[F.sum(c).alias(c) for c in batches.columns])
+
+
 @query
 def stream_assign_(spark, sf_dir):
     source = scratch_path(spark, "arriving")

@@ -289,6 +289,14 @@ ORACLE["sanitize_counts"] = (
     f"select count(*) filter {BROKEN} as nan_values, "
     "count(*) filter (x is not null and isinf(x)) as inf_values from dirty"
 )
+ORACLE["observed_vectors"] = (
+    f"select (select count(*) from embeddings) as rows, 0::bigint as nulls, {DIM} as min_dim, {DIM} as max_dim, "
+    f"count(*) filter {BROKEN} as nan_values, count(*) filter (x is not null and isinf(x)) as inf_values from dirty"
+)
+ORACLE["stream_observed"] = (
+    "select (select count(*) from embeddings) as rows, 0::bigint as nulls, "
+    f"count(*) filter {BROKEN} as nan_values, count(*) filter (x is not null and isinf(x)) as inf_values from dirty"
+)
 ORACLE["vector_stats"] = (
     "select round(min(v::double), 6) as min_value, round(max(v::double), 6) as max_value, "
     "round(avg(v::double), 6) as mean_value "
@@ -588,6 +596,11 @@ ORACLE["collision_groups"] = (
     "from codes join buckets using (code_0, code_1, code_2) where n > 1"
 )
 ORACLE["dedup_rank"] = "select * from ranked"
+ORACLE["index_in_batches"] = "select * from ranked"
+ORACLE["stream_index"] = (
+    "select code_0, code_1, code_2, count(*) as items, 1 as low, count(*)::int as high, count(*) as ranks, "
+    "sum(idx)::bigint as idx_sum from ranked group by all"
+)
 ORACLE["is_collision_free"] = (
     "select count(*) = count(distinct (code_0, code_1, code_2)) as collision_free, 'raw' as codes "
     "from ranked union all select count(*) = count(distinct (code_0, code_1, code_2, code_3)), 'ranked' "

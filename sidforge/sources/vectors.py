@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,7 @@ from sidforge.functions.vectors import inf_count, nan_count, norm, total
 
 # A column whose lower-cased name contains one of these may hold vectors.
 VECTOR_KEYWORDS = ["emb", "embedding", "vector", "feat"]
+METRICS = "vector_metrics"
 
 
 def resolve_vector_column(columns: list[str], column: str | None = None) -> str | None:
@@ -94,6 +95,24 @@ def sanitize_counts(df: DataFrame, vec: str = "embedding") -> DataFrame:
     )
 
 
+def observe_vectors(df: DataFrame, to: Observation | str, vec: str = "embedding") -> DataFrame:
+    """``df``, counting on the way through: rows, null vectors, narrowest and widest vector,
+    NaN (with null) and infinite elements.
+
+    No job of its own: the figures are there once the rows have been used. ``to`` is an
+    :class:`Observation`, on a stream the name under which progress reports carry them.
+    """
+    return df.observe(
+        to,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(vec).isNull()).alias("nulls"),
+        F.min(F.size(vec)).alias("min_dim"),
+        F.max(F.size(vec)).alias("max_dim"),
+        F.coalesce(F.sum(nan_count(vec)), F.lit(0)).alias("nan_values"),
+        F.coalesce(F.sum(inf_count(vec)), F.lit(0)).alias("inf_values"),
+    )
+
+
 def vector_stats(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """One row: smallest, largest and mean element. Rows are folded first, so
     no element leaves its row."""
