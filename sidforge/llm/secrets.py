@@ -6,8 +6,10 @@ candidates are decoded as well and reported only when their structure holds:
 * ``jwt``: a signed token, whose header decodes to a JSON object that names its ``alg`` and
   whose payload decodes to a JSON object;
 * ``key``: a private key, either DER (PKCS#1, PKCS#8 or SEC1: a SEQUENCE whose nested
-  lengths fill it exactly and whose first fields are those of the format), in base64, over
-  several lines too, or in hex; or an OpenSSH key, whose length-prefixed fields must add up.
+  lengths fill it exactly and whose first fields are those of the format; an encrypted PKCS#8
+  key names its encryption there), in plain or URL-safe base64, over several lines too, which
+  may be indented or end in escapes, or in hex; or an OpenSSH key, whose length-prefixed
+  fields must add up.
 
 Spans count code points, the end is exclusive. Null and empty texts have no spans; repeated
 rows are scanned each. A redacted text puts REDACTED in place of each run of overlapping
@@ -43,21 +45,27 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-# DER starts with the byte 0x30, which base64 writes as M and a letter up to P.
+# A JSON object starts with a brace and a quote or blank (ey) or another white space (ew).
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])((?:ey|ew[o0k])[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+# DER starts with the byte 0x30, which base64 writes as M and a letter up to P. Lines may end in
+# escapes, as in JSON, and be indented; letters are those of plain or URL-safe base64.
 _KEY64 = re.compile(
-    r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{22,}"
-    r"(?:\r?\n[A-Za-z0-9+/]+)*={0,2}"
+    r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{22,}"
+    r"(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}"
 )
+_LETTER64 = re.compile(r"\\[rn]|[A-Za-z0-9+/_-]")
+_PLAIN64 = str.maketrans("-_", "+/")
 _KEY16 = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 # Texts without any of these hold no span; checked in bulk before the patterns above.
 _HINT = (
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
-    r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|ey[A-Za-z0-9_-]{6}|M[A-P][A-Za-z0-9+/]{22}|b3BlbnNzaC1rZXktdjE"
+    r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(ey|ew[o0k])[A-Za-z0-9_-]{5}|M[A-P][A-Za-z0-9+/_-]{22}|b3BlbnNzaC1rZXktdjE"
     r"|30[0-9A-Fa-f]{46}"
 )
 _SSH_MAGIC = b"openssh-key-v1\0"
 _INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+# How the identifiers of password-based encryption begin (PKCS#5 and PKCS#12).
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _header(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -97,6 +105,10 @@ def der_key_size(data: bytes) -> int:
     if whole is None or whole[0] != _SEQUENCE:
         return 0
     fields = _children(data, whole[1], whole[2])
+    if fields and [f[0] for f in fields] == [_SEQUENCE, _OCTETS]:
+        scheme = _header(data, fields[0][1], fields[0][2])
+        named = scheme is not None and scheme[0] == _OID and data[scheme[1] : scheme[2]].startswith(_ENCRYPTION)
+        return whole[2] if named else 0
     if not fields or fields[0][0] != _INTEGER or len(fields) < 3:
         return 0
     version = int.from_bytes(data[fields[0][1] : fields[0][2]], "big")
@@ -145,8 +157,9 @@ def _token_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 def _key_spans(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _KEY64.finditer(text):
-        places = [i for i in range(m.start(), m.end()) if text[i] not in "\r\n="]
-        body = "".join(text[i] for i in places)
+        letters = [x for x in _LETTER64.finditer(text, m.start(), m.end()) if len(x.group()) == 1]
+        places = [x.start() for x in letters]
+        body = "".join(x.group() for x in letters).translate(_PLAIN64)
         body = body[: len(body) - (len(body) % 4 == 1)]
         data = base64.b64decode(body + "=" * (-len(body) % 4))
         size = der_key_size(data) or ssh_key_size(data)
