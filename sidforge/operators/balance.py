@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from sidforge.operators import kernels as k
 from sidforge.operators.identity import with_idx
 from sidforge.operators.quantize import (
+    _arrow_map,
+    _column,
     _one_level,
     assign_codes,
     codebook_distances,
@@ -53,16 +55,43 @@ def center_distances(df: DataFrame, batch: str, dist: str = "distances") -> Data
         F.min(F.array_min(dist)).alias("_low"), F.max(F.array_max(dist)).alias("_high"),
         F.count("*").alias("_n"),
     )
+    return _centred(join_counted(df, ends, [batch], "_n"), dist)
+
+
+def _centred(df: DataFrame, dist: str) -> DataFrame:
+    """Distances of rows that carry ``_low`` and ``_high`` of their batch, without the two."""
     middle = (F.col("_high") + F.col("_low")) / 2
     centred = F.transform(
         dist, lambda d: (d - F.col("_middle")) / (F.col("_high") - F.col("_middle") + F.lit(1e-5))
     )
-    return (
-        join_counted(df, ends, [batch], "_n")
-        .withColumn("_middle", middle)
-        .withColumn(dist, centred)
-        .drop("_low", "_high", "_middle", "_n")
-    )
+    return df.withColumn("_middle", middle).withColumn(dist, centred).drop("_low", "_high", "_middle", "_n")
+
+
+def center_codebook_distances(
+    df: DataFrame, codebook: DataFrame, batch: str, level: int = 0, vec: str = "embedding", dist: str = "distances"
+) -> DataFrame:
+    """:func:`center_distances` of vectors to one level of a codebook.
+
+    Vectors meet the extremes of their batch, so distances are measured once for the extremes
+    and once for the result, and none is shuffled or written. With a codebook beyond the
+    broadcast limit they are measured block by block first.
+    """
+    book = _one_level(codebook, level)
+    levels = fetch_levels(book)
+    if levels is None:
+        return center_distances(codebook_distances(df, book, 0, vec), batch)
+    shipped = df.sparkSession.sparkContext.broadcast(levels[0])
+
+    def ends_of(piece):
+        words = shipped.value
+        d = k.distances(k.clean_matrix(_column(piece, vec), words.shape[1]), words)
+        return {"_low": pa.array(d.min(axis=1)), "_high": pa.array(d.max(axis=1))}
+
+    added = [T.StructField(c, T.DoubleType()) for c in ("_low", "_high")]
+    found = _arrow_map(df, [batch, vec], added, ends_of, [batch])
+    ends = found.groupBy(batch).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.count("*").alias("_n"))
+    met = join_counted(df, materialize(ends, "ends"), [batch], "_n")
+    return _centred(codebook_distances(met, book, 0, vec), dist)
 
 
 class _Measured(NamedTuple):

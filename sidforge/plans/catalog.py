@@ -346,8 +346,7 @@ def geo_sid(spark, sf_dir):
 @query
 def center_distances(spark, sf_dir):
     table = views.vectors(spark, sf_dir).withColumn("batch", F.expr("idx div 128"))
-    measured = quantize.codebook_distances(table, views.codebook(spark, sf_dir))
-    centred = balance.center_distances(measured, "batch")
+    centred = balance.center_codebook_distances(table, views.codebook(spark, sf_dir), "batch")
     rows = quantize.distance_rows(centred, ["idx", "batch"])
     return rows.withColumn("distance", r6("distance"))
 
