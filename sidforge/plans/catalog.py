@@ -13,7 +13,8 @@ from sidforge.functions.geo import with_geohash
 from sidforge.functions.text import item_text
 from sidforge.functions.tokens import code_columns, parse_code, render_tokens, sid
 from sidforge.functions.vectors import norm, sanitize
-from sidforge.operators import balance, collisions, decoder, embed, fit, growing, identity, joins, kmeans, merges
+from sidforge.operators import balance, collisions, decoder, embed, fit, groups, growing, identity, joins
+from sidforge.operators import kmeans, merges
 from sidforge.operators import project, quantize, report, sampling, selection
 from sidforge.plans import build, views
 from sidforge.plans.views import CODES, LEVELS
@@ -424,6 +425,21 @@ def nearest_code(spark, sf_dir):
     return found.select("idx", "code", r6("distance").alias("distance"))
 
 
+@query
+def nearest_code_grouped(spark, sf_dir):
+    """A codebook of all vectors, searched by groups for mixtures of neighbours."""
+    table = views.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    book = table.select(
+        F.lit(0).alias("level"), F.col("vec_id").cast("int").alias("code"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("centroid"),
+    )
+    following = table.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    mixed = F.expr("zip_with(embedding, other, (x, y) -> 0.55D * double(x) + 0.5D * double(y))")
+    rows = table.join(following, "vec_id").select(F.col("vec_id").alias("idx"), mixed.alias("embedding"))
+    found = groups.nearest_by_groups(rows, groups.group_codewords(book))
+    return found.select("idx", "code", r6("distance").alias("distance"))
+
+
 @query
 def residual_quantize(spark, sf_dir):
     return int_codes(spark, sf_dir)

@@ -478,6 +478,13 @@ ORACLE["reconstruction_loss_decoded"] = (
     f"select 'l1', round(avg(list_sum(list_transform(list_zip(x, m), lambda z: abs(z[1] - z[2]))) / {DIM}), 6) "
     "from decoded join vec using (vec_id)"
 )
+CTES["mixtures"] = (
+    "select a.vec_id, list_transform(list_zip(a.x, b.x), lambda z: 0.55::double * z[1] + 0.5::double * z[2]) as m "
+    "from vec a join vec b on b.vec_id = a.vec_id + 1"
+)
+CTES["all_words"] = "select 0 as level, vec_id::int as code, x as c from vec"
+CTES["near_all"] = nearest("mixtures", "m", "vec_id", 0, "all_words")
+ORACLE["nearest_code_grouped"] = "select vec_id as idx, code, round(d, 6) as distance from near_all"
 ORACLE["model_tables"] = "select * from codes"
 ORACLE["stream_assign"] = "select * from codes"
 
