@@ -3,7 +3,7 @@
 A text is cut into words by the tokenizer's pattern. The bytes of a distinct word are an array
 of pieces; each step of a fold joins the leftmost pair of neighbours whose joined bytes have
 the lowest rank, until no pair has a rank. Encodings are kept per worker for later texts, at
-most CACHED_WORDS of them. Decoding looks up the bytes of each id and joins them.
+most twice CACHED_WORDS of them. Decoding looks up the bytes of each id and joins them.
 
 The fold runs in Arrow batches with the rank map as a broadcast dictionary of fixed size (one
 entry per line of the vocabulary file). As Spark higher-order functions over a literal map it
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sidforge.llm.common import python_texts, schema_of, text_groups
 
-CACHED_WORDS = 200_000  # of one worker, about 35 MB; they outlive a task
+CACHED_WORDS = 150_000  # of a generation; a worker keeps two, about 50 MB, and they outlive a task
 CACHED_CHARS = 64  # longer words are not kept
 _NONE = 1 << 62
 _LONG = 48  # bytes from which a heap finds the lowest rank
@@ -133,13 +133,18 @@ def _is_latin(text: str) -> bool:
 
 
 class Encoder:
-    """Encodes texts and keeps the ids of the words it has met."""
+    """Encodes texts and keeps the ids of words it has met lately.
+
+    When a generation is full it becomes the older one; words that are met again return from
+    there, all others go with it.
+    """
 
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.latin = re.compile(latin_pattern(pattern))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _words(self, text: str) -> Iterator[list[str]]:
         pattern = self.latin if _is_latin(text) else self.pattern
@@ -151,16 +156,18 @@ class Encoder:
             yield part
 
     def _ids(self, word: str) -> tuple[int, ...]:
-        ids = fold_merges(word.encode(), self.ranks)
+        ids = self.older.get(word) or fold_merges(word.encode(), self.ranks)
         if len(word) <= CACHED_CHARS:
             if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
+                self.older = self.known
+                self.known = {}
             self.known[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        known, fold, out = self.known, self._ids, []
+        fold, out = self._ids, []
         for part in self._words(text):
+            known = self.known  # a generation that ends meanwhile is still right
             out.extend(itertools.chain.from_iterable([known.get(w) or fold(w) for w in part]))
         return out
 
