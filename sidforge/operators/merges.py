@@ -22,8 +22,6 @@ SYMBOL = "<m_{}>"
 V_MEM = 200
 MIN_COUNT = 10
 RULE_SCHEMA = "rank int, a string, b string, sym string, expansion string"
-# Never part of a token.
-PAIR_BREAK = "\x1f"
 # Pairs read per counting pass. Several of them can be merged at once.
 HEAD = 256
 # Counting passes between two written corpora.
@@ -95,32 +93,40 @@ def replay(df: DataFrame, seq: str, produced: str, rules: list[tuple[str, str, s
     return with_rules(df, rules).withColumn("_state", F.expr(fold)).drop("_rules")
 
 
-def neighbour_bounds(
-    seqs: DataFrame, head: list[tuple[str, str]], seq: str = "seq"
-) -> DataFrame:
-    """For each pair (a, b) of ``head``: the most items in which one same token
-    stands before, or one same token stands after, the pair.
+def bounded_pairs(seqs: DataFrame, seq: str = "seq") -> DataFrame:
+    """``(a, b, n, bound)``: pairs as :func:`pair_counts` counts them, and the most items in which
+    one same token stands before, or one same token stands after, the pair.
 
-    After merging the pair no new pair can be more frequent than that.
+    After merging the pair no new pair can be more frequent than its bound. One pass gives
+    both numbers.
     """
     place = (
-        f"struct(element_at({seq}, i) as a, element_at({seq}, i + 1) as b, "
-        f"array(struct('before' as side, get({seq}, i - 2) as token), "
+        f"struct(element_at({seq}, i) as a, element_at({seq}, i + 1) as b, array("
+        "struct('pair' as side, '' as token), "
+        f"struct('before' as side, get({seq}, i - 2) as token), "
         f"struct('after' as side, get({seq}, i + 1) as token)) as sides)"
     )
-    found = (
-        seqs.where(f"size({seq}) > 2")
-        .selectExpr(f"inline(transform(sequence(1, size({seq}) - 1), i -> {place}))", "n")
-        .where(F.concat_ws(PAIR_BREAK, "a", "b").isin([PAIR_BREAK.join(pair) for pair in head]))
+    found = seqs.where(f"size({seq}) > 1").selectExpr(
+        f"inline(transform(sequence(1, size({seq}) - 1), i -> {place}))", "n"
     )
-    return (
+    counts = (
         found.selectExpr("a", "b", "inline(sides)", "n")
         .where("token is not null")
         .groupBy("a", "b", "side", "token")
         .agg(F.sum("n").alias("n"))
-        .groupBy("a", "b")
-        .agg(F.max("n").alias("bound"))
     )
+    whole = F.col("side") == "pair"
+    return counts.groupBy("a", "b").agg(
+        F.max(F.when(whole, F.col("n"))).alias("n"),
+        F.coalesce(F.max(F.when(~whole, F.col("n"))), F.lit(0)).alias("bound"),
+    )
+
+
+def neighbour_bounds(seqs: DataFrame, head: list[tuple[str, str]], seq: str = "seq") -> DataFrame:
+    """``(a, b, bound)`` of the pairs in ``head`` that have a neighbour."""
+    wanted = seqs.sparkSession.createDataFrame(head, "a string, b string")
+    found = bounded_pairs(seqs, seq).where("bound > 0").select("a", "b", "bound")
+    return found.join(F.broadcast(wanted), ["a", "b"], "left_semi")
 
 
 def independent_head(
@@ -174,14 +180,13 @@ def learn_merges(
         return state.selectExpr("seq", "_state.cur", "_state.produced", "n")
 
     while len(rules) < v_mem:
-        pairs = pair_counts(current(), "cur").where(F.col("n") >= min_count)
+        pairs = bounded_pairs(current(), "cur").where(F.col("n") >= min_count)
         rows = pairs.orderBy(F.desc("n"), F.desc("a"), F.desc("b")).limit(head).collect()
         if not rows:
             reason = "no pair >= min_count"
             break
         ranked = [(r.n, r.a, r.b) for r in rows]
-        around = neighbour_bounds(current(), [(a, b) for _, a, b in ranked], "cur")
-        bounds = {(r.a, r.b): r.bound for r in around.collect()}
+        bounds = {(r.a, r.b): r.bound for r in rows}
         # With room in the head, all other pairs are below min_count.
         last = ranked[-1][0] if len(rows) == head else 0
         for _, a, b in independent_head(ranked, bounds, last, v_mem - len(rules)):
