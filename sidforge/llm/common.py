@@ -29,14 +29,16 @@ def crc_remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % modulus
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each piece hold about GROUP_CHARS bytes.
+def text_groups(
+    batches: Iterator[pa.RecordBatch], text: str = "text", chars: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of each piece hold about ``chars`` (GROUP_CHARS) bytes.
 
     Texts are never cut: one that is longer forms a piece of its own.
     """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(sizes.astype(np.int64)) // GROUP_CHARS
+        piece = np.cumsum(sizes.astype(np.int64)) // (chars or GROUP_CHARS)
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:]):
             if end > start:

@@ -30,6 +30,7 @@ _POINTS = 0x110000  # code points
 _TABLE = 1 << 22  # trigrams that a table numbers; more are sorted
 _BLOCK = 4096  # trigrams whose vectors exist at one time
 _ROWS = 256  # texts counted at one time
+_CHARS = 500_000  # and their characters, about; each takes some 60 bytes meanwhile
 
 
 @lru_cache(maxsize=20_000)
@@ -118,7 +119,7 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for piece in text_groups(batches):
+    for piece in text_groups(batches, chars=_CHARS):
         for start in range(0, piece.num_rows, _ROWS):
             part = piece.slice(start, _ROWS)
             yield part, *bundles(python_texts(part.column("text")))
