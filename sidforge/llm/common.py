@@ -81,43 +81,115 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _KEY = b"words of documents"
-_KNOWN_WORDS = 100_000  # hashes kept at one time
+_SIP_KEY = np.frombuffer(hashlib.blake2b(_KEY, digest_size=16).digest(), "<u8")
+_SIP_BYTES = 40  # words beyond are hashed one by one
+_SIP_WORDS = 1 << 14  # words hashed at one time, so that the state stays in a core's cache
 _BREAK = re.compile(b"[" + WHITE.encode() + b"]")
+_IS_WHITE = np.isin(np.arange(256), list(WHITE.encode()))
+_TAIL = (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)) - np.uint64(1)
 
 
 def _word_hash(word: bytes) -> int:
-    """64 bits of a keyed cryptographic hash: no two words are known to share them."""
+    """64 bits of a keyed cryptographic hash."""
     return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
 
 
-def _cut(text: bytes) -> Iterator[bytes]:
-    """Parts of about GROUP_CHARS bytes of a long text, cut at white space."""
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    high = x << np.uint64(bits)
+    high |= x >> np.uint64(64 - bits)
+    return high
+
+
+def _sip_rounds(v: list[np.ndarray], count: int) -> None:
+    for _ in range(count):
+        v[0] += v[1]
+        v[2] += v[3]
+        v[1], v[3] = _turn(v[1], 13), _turn(v[3], 16)
+        v[1] ^= v[0]
+        v[3] ^= v[2]
+        v[0] = _turn(v[0], 32)
+        v[2] += v[1]
+        v[0] += v[3]
+        v[1], v[3] = _turn(v[1], 17), _turn(v[3], 21)
+        v[1] ^= v[2]
+        v[3] ^= v[0]
+        v[2] = _turn(v[2], 32)
+
+
+def siphash(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: np.ndarray = _SIP_KEY) -> np.ndarray:
+    """SipHash-2-4 of the byte strings at ``starts``; 8 readable bytes follow the last one."""
+    loads = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    n = len(starts)
+    k0, k1 = key
+    begin = (k0 ^ 0x736F6D6570736575, k1 ^ 0x646F72616E646F6D, k0 ^ 0x6C7967656E657261, k1 ^ 0x7465646279746573)
+    v = [np.full(n, x, np.uint64) for x in begin]
+    full = sizes >> 3
+    for block in range(int(full.max(initial=-1)) + 1):
+        at = np.flatnonzero(full >= block) if block else slice(None)
+        m = loads[starts[at] + 8 * block]
+        last = full[at] == block
+        own = sizes[at][last]
+        m[last] = (m[last] & _TAIL[own & 7]) | (own.astype(np.uint64) << np.uint64(56))
+        state = [x[at] for x in v]
+        state[3] ^= m
+        _sip_rounds(state, 2)
+        state[0] ^= m
+        for x, new in zip(v, state):
+            x[at] = new
+    v[2] ^= np.uint64(0xFF)
+    _sip_rounds(v, 4)
+    return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+def _spans(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about GROUP_CHARS bytes, cut at white space."""
     start = 0
-    while len(text) - start > GROUP_CHARS and (gap := _BREAK.search(text, start + GROUP_CHARS)):
-        yield text[start : gap.start()]
+    while len(data) - start > GROUP_CHARS and (gap := _BREAK.search(data, start + GROUP_CHARS)):
+        yield start, gap.start()
         start = gap.start()
-    yield text[start:] if start else text
+    if start < len(data):
+        yield start, len(data)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words between ASCII white space, as hashes.
 
-    Returns the offsets of each row's words and one 64-bit hash per word. A null text has no
-    words.
+    Returns the offsets of each row's words and one 64-bit keyed hash per word: no two words are
+    known to share them. A null text has no words.
     """
-    known: dict[bytes, int] = {}
-    counts, parts = [0], [np.zeros(0, np.uint64)]
-    for text in texts.cast(pa.large_binary()):
-        total = 0
-        for part in _cut(text.as_py() or b""):
-            words = part.split()  # of bytes: ASCII white space
-            if len(known) > _KNOWN_WORDS:
-                known.clear()
-            known.update((w, _word_hash(w)) for w in set(words).difference(known))
-            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-            total += len(words)
-        counts.append(total)
-    return np.cumsum(counts), np.concatenate(parts)
+    column = texts.cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
+    none = np.zeros(0, np.uint64)
+    _, ends, body = column.buffers()
+    if not len(column) or body is None:
+        return np.zeros(len(column) + 1, np.int64), none
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]]
+    rows = ends - ends[0]
+    places, parts = [np.zeros(0, np.int64)], [none]
+    for low, high in _spans(data):
+        padded = np.zeros(high - low + 8, np.uint8)
+        padded[:-8] = data[low:high]
+        white = _IS_WHITE[padded[:-8]]
+        gap = np.ones(high - low + 1, bool)  # between a byte and the one before
+        gap[1:-1] = white[:-1]
+        gap[rows[np.searchsorted(rows, low) : np.searchsorted(rows, high)] - low] = True
+        stop = gap.copy()
+        stop[:-1] |= white
+        starts = np.flatnonzero(~white & gap[:-1])
+        sizes = np.flatnonzero(~white & stop[1:]) + 1 - starts
+        long = np.flatnonzero(sizes > _SIP_BYTES)
+        short = sizes.copy()
+        short[long] = 0
+        hashes = np.empty(len(starts), np.uint64)
+        for i in range(0, len(starts), _SIP_WORDS):
+            cut = slice(i, i + _SIP_WORDS)
+            hashes[cut] = siphash(padded, starts[cut], short[cut])
+        for i in long:
+            hashes[i] = _word_hash(padded[starts[i] : starts[i] + sizes[i]].tobytes())
+        places.append(starts + low)
+        parts.append(hashes)
+    return np.searchsorted(np.concatenate(places), rows), np.concatenate(parts)
 
 
 def window_hashes(words: np.ndarray, width: int, factor: int = _BASE) -> np.ndarray:
@@ -125,10 +197,17 @@ def window_hashes(words: np.ndarray, width: int, factor: int = _BASE) -> np.ndar
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(width):
-        total = total * np.uint64(factor) + words[i : i + n]
-    return mix64(total)
+    # Sums of 1, 2, 4, ... words, doubled; those in the binary form of the width are put together.
+    total, done, power, size = None, 0, words, 1
+    while True:
+        if width & size:
+            part = power[done : done + n]
+            total = part if total is None else total * np.uint64(pow(factor, size, 1 << 64)) + part
+            done += size
+        if done == width:
+            return mix64(total)
+        power = power[:-size] * np.uint64(pow(factor, size, 1 << 64)) + power[size:]
+        size *= 2
 
 
 # --- connected components ----------------------------------------------------------

@@ -23,6 +23,8 @@ their own results. A null id sorts behind all others.
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,35 +45,47 @@ class Windows:
     """The windows of a column of texts and the segments they form."""
 
     def __init__(self, texts: pa.Array, width: int, anchor: int):
-        self.offsets, words = word_hashes(texts)
+        self.offsets, self.words = word_hashes(texts)
         self.width = width
         sizes = np.diff(self.offsets)
-        every = window_hashes(words, width)
         row = np.repeat(np.arange(len(sizes)), sizes)
         # Windows that cross rows are left out.
-        self.at = np.flatnonzero(row[: len(every)] == row[width - 1 :][: len(every)])
+        self.at = np.flatnonzero(row[: max(0, len(row) - width + 1)] == row[width - 1 :])
         self.row = row[self.at]
-        self.hash = every[self.at]
-        self.check = window_hashes(words, width, _SECOND)[self.at].view(np.int64)
-        grams = mix64(window_hashes(words, anchor))
-        best = grams[self.at]
-        place = self.at.copy()
-        for i in range(1, width - anchor + 1):
-            here = grams[self.at + i]
-            lower = here < best
-            best = np.where(lower, here, best)
-            place = np.where(lower, self.at + i, place)
+        best, place = _lowest(mix64(window_hashes(self.words, anchor)), width - anchor + 1)
+        place = place[self.at]
         n = len(place)
         fresh = np.ones(n, bool)
         fresh[1:] = (place[1:] != place[:-1]) | (self.row[1:] != self.row[:-1])
         self.first = np.flatnonzero(fresh)
         self.count = np.diff(np.append(self.first, n))
         self.segment_row = self.row[self.first]
-        self.anchor = best[self.first].view(np.int64)
-        last = self.hash[self.first + self.count - 1] if n else self.hash
-        both = mix64(self.hash[self.first] * _FACTOR + last) + self.count.astype(np.uint64)
-        self.segment = mix64(both).view(np.int64)
-        self.hash = self.hash.view(np.int64)
+        self.anchor = best[self.at[self.first]].view(np.int64)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return window_hashes(self.words, self.width)[self.at].view(np.int64)
+
+    @cached_property
+    def check(self) -> np.ndarray:
+        return window_hashes(self.words, self.width, _SECOND)[self.at].view(np.int64)
+
+    @cached_property
+    def segment(self) -> np.ndarray:
+        windows = self.hash.view(np.uint64)
+        both = mix64(windows[self.first] * _FACTOR + windows[self.first + self.count - 1])
+        return mix64(both + self.count.astype(np.uint64)).view(np.int64)
+
+
+def _lowest(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of each ``size`` consecutive values and the first place that holds it."""
+    best, place, done = values, np.arange(len(values)), 1
+    while done < size:
+        step = min(done, size - done)
+        left, right = best[: max(0, len(best) - step)], best[step:]
+        lower = right < left
+        best, place, done = np.where(lower, right, left), np.where(lower, place[step:], place[: len(left)]), done + step
+    return best, place
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -87,12 +101,14 @@ def segments(keyed: DataFrame, width: int, anchor: int, content: bool) -> DataFr
             w = Windows(part.column("text"), width, anchor)
             doc = part.column("doc").to_numpy()[w.segment_row]
             arrays = {"doc": doc, "anchor": w.anchor} | ({"segment": w.segment} if content else {})
-            order = np.lexsort(tuple(arrays.values())[::-1])
-            kept = {k: v[order] for k, v in arrays.items()}
+            # Equal rows are neighbours in the order of a mixed key; keys that happen to be equal
+            # only leave a repeat.
+            order = np.argsort(_mixed(w.segment_row, w.segment if content else w.anchor))
             fresh = np.ones(len(order), bool)
             if len(order):
-                fresh[1:] = np.any([v[1:] != v[:-1] for v in kept.values()], axis=0)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v[fresh]) for k, v in kept.items()})
+                fresh[1:] = np.any([v[order[1:]] != v[order[:-1]] for v in arrays.values()], axis=0)
+            kept = np.sort(order[fresh])
+            yield pa.RecordBatch.from_pydict({k: pa.array(v[kept]) for k, v in arrays.items()})
 
     return keyed.mapInArrow(build, "doc bigint, anchor bigint" + ", segment bigint" * content)
 
@@ -120,21 +136,20 @@ def _boundary_windows(keyed: DataFrame, wanted: DataFrame, width: int, anchor: i
     return rows.mapInArrow(build, "doc bigint, window bigint, check bigint").distinct()
 
 
+def _mixed(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """One key of a row and a hash."""
+    return value.view(np.uint64) ^ mix64(row.astype(np.uint64) + _FACTOR)
+
+
 def _member(row: np.ndarray, value: np.ndarray, set_row: np.ndarray, set_value: np.ndarray) -> np.ndarray:
     """Whether (row, value) is among (set_row, set_value)."""
-    pairs = np.zeros(len(row) + len(set_row), [("row", np.int64), ("value", np.int64)])
-    pairs["row"] = np.concatenate([row, set_row])
-    pairs["value"] = np.concatenate([value, set_value])
-    order = np.lexsort((pairs["value"], pairs["row"]))
-    sorted_pairs = pairs[order]
-    group = np.zeros(len(order), np.int64)
-    if len(order):
-        group[1:] = np.cumsum(sorted_pairs[1:] != sorted_pairs[:-1])
-    has = np.zeros(group[-1] + 1 if len(order) else 0, bool)
-    has[group[order >= len(row)]] = True
-    out = np.zeros(len(order), bool)
-    out[order] = has[group]
-    return out[: len(row)]
+    if not len(set_row):
+        return np.zeros(len(row), bool)
+    keys = _mixed(set_row, set_value)
+    order = np.argsort(keys)
+    place = np.minimum(np.searchsorted(keys[order], _mixed(row, value)), len(order) - 1)
+    found = order[place]
+    return (set_row[found] == row) & (set_value[found] == value)
 
 
 def find_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
@@ -181,10 +196,12 @@ def repeated_words(w: Windows, parts: pa.Array, windows: pa.Array) -> np.ndarray
         sizes = np.diff(lists.offsets.to_numpy())
         found = _member(row, value, np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy())
         hit |= np.repeat(found, w.count) if spread else found
-    change = np.zeros(int(w.offsets[-1]) + w.width + 1, np.int64)
-    np.add.at(change, w.at[hit], 1)
-    np.add.at(change, w.at[hit] + w.width, -1)
-    return np.cumsum(change)[: int(w.offsets[-1])] > 0
+    total = int(w.offsets[-1])
+    begun = np.zeros(total + w.width, np.int64)
+    begun[w.at[hit] + w.width] = 1
+    begun = np.cumsum(begun)
+    # A word is covered if a window begins at it or at one of the width - 1 words before.
+    return begun[w.width :] > begun[:total]
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
@@ -194,23 +211,27 @@ def remove_repeats(docs: DataFrame, keep: list[str], width: int = WIDTH, anchor:
 
     def build(batches):
         for part in text_groups(batches):
-            texts = part.column("text")
-            w = Windows(texts, width, anchor)
-            gone = repeated_words(w, part.column("_parts"), part.column("_windows"))
-            totals = np.concatenate([[0], np.cumsum(gone)])
-            removed = totals[w.offsets[1:]] - totals[w.offsets[:-1]]
-            kept = []
+            texts = part.column("text").cast(pa.large_binary())
+            lists = [part.column("_parts"), part.column("_windows")]
+            met = np.flatnonzero(sum(np.diff(v.offsets.to_numpy()) for v in lists))
+            # Documents that repeat nothing need no windows.
+            w = Windows(texts.take(pa.array(met)), width, anchor)
+            gone = repeated_words(w, *(v.take(pa.array(met)) for v in lists))
+            place = dict(zip(met.tolist(), range(len(met))))
+            kept, counts, removed = [], [], []
             for i, text in enumerate(texts):
-                words = (text.as_py() or "").encode().split()
-                if removed[i]:
-                    left = ~gone[w.offsets[i] : w.offsets[i + 1]]
-                    words = [word for word, stays in zip(words, left) if stays]
-                kept.append(b" ".join(words).decode())
-            counts = np.diff(w.offsets)
+                words = (text.as_py() or b"").split()  # of bytes: ASCII white space
+                counts.append(len(words))
+                if i in place:
+                    own = gone[w.offsets[place[i]] : w.offsets[place[i] + 1]]
+                    words = list(compress(words, (~own).tolist()))
+                removed.append(counts[-1] - len(words))
+                kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)],
+                [*(part.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
+                 pa.array(kept, pa.binary()).cast(pa.string())],
                 names=[*keep, "n_words", "n_removed", "kept_text"],
-            )
+            )
 
     def or_none(name: str) -> Column:
         return F.coalesce(F.col(f"r.{name}"), F.array().cast("array<bigint>")).alias(f"_{name}")
